@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tagloom.llm import spans
+from tagloom.llm import neardup, spans
 from tagloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -14,6 +14,12 @@ def query(f):
     return f
 
 
+@query
+def p6_found(spark, sf_dir):
+    """Pairs of posts whose title and text are the same but for small edits."""
+    return neardup.similar_pairs(table(spark, sf_dir, "post"))
+
+
 @query
 def p9_found(spark, sf_dir):
     """Maximal runs of words of each document that stand word for word in another one."""

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import hashing as H
@@ -185,13 +185,16 @@ def _merge(length: int):
     return run
 
 
-def one_row_per_id(docs: DataFrame) -> DataFrame:
+def one_row_per_id(docs: DataFrame, text: Column | None = None) -> DataFrame:
     """Rows with an id; of several rows of one id the longest, then greatest text. Costs a pass over the ids only."""
     docs = docs.where(F.col("doc_id").isNotNull())
     twice = docs.groupBy("doc_id").count().where("count > 1").select("doc_id")
     if not twice.limit(1).count():
         return docs
-    chosen = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    text = F.col("text") if text is None else text
+    rest = [c for c in docs.columns if c != "doc_id"]
+    order = F.struct(F.length(text), text, *rest)
+    chosen = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct(*rest), order).alias("row")).select("doc_id", "row.*")
     return docs.join(twice, "doc_id", "left_anti").unionByName(chosen)
 
 
