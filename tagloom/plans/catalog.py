@@ -2,5 +2,44 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tagloom.operators import packed
+from tagloom.sources.tables import table
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+@query()
+def p1_found(spark, sf_dir):
+    """One row per value of users' interests and of the positions of each posting."""
+    interests = packed.packed_values(table(spark, sf_dir, "userlj").select("id", "interests"), "interests", ["id"])
+    uses = packed.packed_values(
+        table(spark, sf_dir, "unigramtopost").select("ngram_id", "post_id", "uses_str"),
+        "uses_str",
+        ["ngram_id", "post_id"],
+        separators=packed.NUMBER_SEPARATORS,
+        protected=None,
+    )
+    a = interests.select(F.lit("interests").alias("field"), F.col("id").alias("id_a"), F.lit(0).cast("long").alias("id_b"), "pos", "val")
+    b = uses.select(F.lit("uses_str").alias("field"), F.col("ngram_id").alias("id_a"), F.col("post_id").alias("id_b"), "pos", "val")
+    return a.unionByName(b)
+
+
+@query("SELECT DISTINCT ngram_id, post_id, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS pos, unnest(v) AS val FROM (SELECT ngram_id, post_id, regexp_extract_all(uses_str, '[0-9]+') AS v FROM unigramtopost)")
+def p1_positions(spark, sf_dir):
+    """One row per position of each posting."""
+    return packed.packed_values(
+        table(spark, sf_dir, "unigramtopost"), "uses_str", ["ngram_id", "post_id"], separators=packed.NUMBER_SEPARATORS, protected=None
+    )
