@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagloom.llm import cooccur, frequency, mixing, neardup, packing, spans, topn
+from tagloom.llm import canonical, cooccur, frequency, mixing, neardup, packing, spans, topn
 from tagloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -16,6 +16,21 @@ def query(f):
     return f
 
 
+@query
+def p2_found(spark, sf_dir):
+    """The entry each hand-typed tag and city means, 0 where the list has none."""
+    tags = table(spark, sf_dir, "tag").where("id is not null and master_id is null").select(F.col("id").alias("src_id"), "text")
+    cities = table(spark, sf_dir, "userlj").select(F.col("id").alias("src_id"), F.col("city_cstm").alias("text"))
+    cities = cities.where(F.col("src_id").isNotNull() & F.col("text").rlike(r"[^\s\u00a0]"))
+    tag_list = table(spark, sf_dir, "mastertag").select(F.col("id").alias("ref_id"), F.col("text").alias("name"))
+    city_list = table(spark, sf_dir, "cityref").select(F.col("city_id").alias("ref_id"), "name")
+    parts = [
+        canonical.mapped(rows, names, fillers).select(F.lit(field).alias("field"), "src_id", "ref_id")
+        for field, rows, names, fillers in (("tag", tags, tag_list, canonical.TAG_FILLERS), ("city_cstm", cities, city_list, canonical.CITY_FILLERS))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 @query
 def p3_found(spark, sf_dir):
     """The ten items of highest tf_idf of every tag."""
