@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tagloom.session import written
 
@@ -18,7 +19,7 @@ from tagloom.session import written
 WAYS = 256
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _ordered_bits(x: pd.Series) -> pd.Series:
     bits = (x.to_numpy(dtype="float64", na_value=float("nan")) + 0.0).view("int64")
     return pd.Series(bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF))
