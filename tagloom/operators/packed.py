@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tagloom.functions.text import bound
+
 #: Placeholder ``MARK i END``. A MARK that stands in the text is followed by ESCAPE meanwhile, so none can be mistaken.
 MARK, END, ESCAPE = "", "", ""
 _INNER = r"(?<=[\p{L}\p{N}])'(?=[\p{L}\p{N}])"
@@ -24,6 +26,8 @@ QUOTED = "|".join(
     ]
 )
 BRACKETED = r"\((?:[^()]|\([^()]*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]|\{[^{}]*\})*\}"
+#: White space at the ends of a value.
+TRIMMED = r"^[\s\u00a0]+|[\s\u00a0]+$"
 #: Comma, semicolon, bar, bullet, tab and line ends; a slash only between white space.
 LIST_SEPARATORS = r"[,;|•\t\n\r]|(?<=\s)/(?=\s)"
 #: Whatever is not a digit, quotes and brackets included: for lists of numbers.
@@ -43,11 +47,15 @@ def split_values(column: Column, separators: str = LIST_SEPARATORS, protected: s
     text = F.replace(text, F.lit(MARK), F.lit(MARK + ESCAPE))
     spans = F.regexp_extract_all(text, F.lit(f"(?:{protected})"), F.lit(0))
     between = F.split(text, f"(?:{protected})", -1)
-    masked = F.array_join(
-        F.transform(between, lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.lit(MARK), (i - 1).cast("string"), F.lit(END), piece))), ""
-    )
-    values = F.transform(F.split(masked, separators, -1), lambda v: F.regexp_replace(v, r"^[\s ]+|[\s ]+$", ""))
-    return F.filter(F.transform(F.filter(values, lambda v: v != ""), lambda v: _restored(v, spans)), lambda v: F.regexp_replace(v, r"[\s ]+", "") != "")
+
+    def values(parts: Column) -> Column:
+        masked = F.array_join(
+            F.transform(parts["between"], lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.lit(MARK), (i - 1).cast("string"), F.lit(END), piece))), ""
+        )
+        some = F.filter(F.transform(F.split(masked, separators, -1), lambda v: F.regexp_replace(v, TRIMMED, "")), lambda v: v != "")
+        return F.filter(F.transform(some, lambda v: _restored(v, parts["spans"])), lambda v: F.regexp_replace(v, TRIMMED, "") != "")
+
+    return bound(F.struct(spans.alias("spans"), between.alias("between")), values)
 
 
 def _restored(value: Column, spans: Column) -> Column:

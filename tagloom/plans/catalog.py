@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
-from tagloom.operators import packed
+from tagloom.functions import parse, text
+from tagloom.ml import dataset, evaluate, models
+from tagloom.operators import packed, popularity, queue, tfidf
+from tagloom.operators.corpus import Corpus
 from tagloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -43,3 +49,424 @@ def p1_positions(spark, sf_dir):
     return packed.packed_values(
         table(spark, sf_dir, "unigramtopost"), "uses_str", ["ngram_id", "post_id"], separators=packed.NUMBER_SEPARATORS, protected=None
     )
+
+
+# ---- the model's queries ------------------------------------------------------------------------------------------
+
+AS_OF = date(2015, 12, 31)
+
+#: Common table expressions of the oracle: the bridges without repeated rows.
+_TP = "tp AS (SELECT DISTINCT tag_id, post_id FROM tagtopost WHERE tag_id IS NOT NULL AND post_id IS NOT NULL)"
+_UP = "up AS (SELECT ngram_id, post_id, max(uses_cnt) AS uses_cnt FROM unigramtopost WHERE ngram_id IS NOT NULL AND post_id IS NOT NULL GROUP BY ngram_id, post_id)"
+_TU = "tu AS (SELECT tag_id, user_id, count(*) AS uses FROM tp JOIN post ON post.id = tp.post_id WHERE user_id IS NOT NULL GROUP BY tag_id, user_id)"
+_SCORE = f"""WITH {_TP}, {_TU},
+ u AS (SELECT tag_id, count(DISTINCT user_id) AS n FROM tu WHERE user_id IN (SELECT user_id FROM post WHERE normalized) GROUP BY tag_id),
+ p AS (SELECT tag_id, count(*) AS n FROM tp WHERE post_id IN (SELECT id FROM post WHERE normalized) GROUP BY tag_id),
+ score AS (SELECT tag.id AS tag_id, text, u.n * p.n AS score FROM tag JOIN u ON u.tag_id = tag.id JOIN p ON p.tag_id = tag.id)"""
+
+
+@query(_SCORE + " SELECT tag_id, text, score FROM score ORDER BY score DESC, text, tag_id LIMIT 5 OFFSET 3")
+def top_tags_offset(spark, sf_dir):
+    return popularity.top_by_offset(popularity.tag_scores(Corpus(spark, sf_dir)), 3, 5)
+
+
+@query(_SCORE + " SELECT tag_id, text, score FROM score WHERE score BETWEEN 100 AND 50000")
+def top_tags_score_gap(spark, sf_dir):
+    return popularity.top_by_gap(popularity.tag_scores(Corpus(spark, sf_dir)), 100, 50000)
+
+
+_WEEKS = f"""WITH {_TP}, {_TU},
+ u AS (SELECT tag_id, count(DISTINCT user_id) AS n FROM tu GROUP BY tag_id), p AS (SELECT tag_id, count(*) AS n FROM tp GROUP BY tag_id),
+ top AS (SELECT tag.id AS tag_id, text FROM tag JOIN u ON u.tag_id = tag.id JOIN p ON p.tag_id = tag.id ORDER BY u.n * p.n DESC, text, tag.id LIMIT 100),
+ week AS (SELECT unnest(generate_series(TIMESTAMP '2014-12-31', TIMESTAMP '2015-12-31', INTERVAL 7 DAY)) AS w)
+ SELECT CAST(w AS DATE) AS week, top.text, count(*) AS count FROM week JOIN post ON date BETWEEN w AND w + INTERVAL 7 DAY
+ JOIN tp ON tp.post_id = post.id JOIN top ON top.tag_id = tp.tag_id GROUP BY w, top.text"""
+
+
+@query(_WEEKS)
+def tag_week_stats(spark, sf_dir):
+    return popularity.week_statistics(Corpus(spark, sf_dir), AS_OF, 100)
+
+
+@query()
+def tag_week_pivot(spark, sf_dir):
+    return popularity.week_matrix(popularity.week_statistics(Corpus(spark, sf_dir), AS_OF, 10), AS_OF)
+
+
+def _occurrences(c: Corpus):
+    """``tag_id, type, ngram, uses`` of the unigram postings and of the adjacent two-word n-grams of the posts' texts."""
+    pairs = text.postings(c.posts, "id", text.post_text(F.col("title"), F.col("text")), 2)
+    one = c.postings.join(c.unigrams.select(F.col("id").alias("ngram_id"), F.col("text").alias("ngram")), "ngram_id")
+    rows = one.select(F.lit(1).alias("type"), "ngram", "post_id", F.col("uses_cnt").alias("uses"))
+    rows = rows.unionByName(pairs.select(F.lit(2).alias("type"), "ngram", "post_id", F.col("uses_cnt").alias("uses")))
+    return c.tag_posts.join(rows, "post_id").select("tag_id", "type", "ngram", "uses")
+
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+_TOKENS = "regexp_extract_all(lower(coalesce(title, '') || '. ' || coalesce(text, '')), '\\p{L}+')"
+_TFIDF = f"""WITH {_TP}, {_UP},
+ words AS (SELECT id AS post_id, {_TOKENS} AS w FROM post),
+ pairs AS (SELECT post_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM words WHERE len(w) > 1),
+ rows AS (SELECT 1 AS type, text AS ngram, post_id, uses_cnt AS uses FROM up JOIN unigram ON unigram.id = up.ngram_id
+          UNION ALL SELECT 2, ngram, post_id, count(*) FROM pairs WHERE ngram NOT IN ({_STOP}) GROUP BY post_id, ngram),
+ occ AS (SELECT tag_id, type, ngram, uses FROM tp JOIN rows USING (post_id)),
+ per AS (SELECT tag_id, type, ngram, coalesce(sum(uses), 0) AS uses, count(*) AS n FROM occ GROUP BY tag_id, type, ngram),
+ tagsum AS (SELECT tag_id, sum(uses) AS total FROM per GROUP BY tag_id), spread AS (SELECT type, ngram, sum(n) AS n FROM per GROUP BY type, ngram),
+ tags AS (SELECT count(*) AS n FROM tagsum),
+ scores AS (SELECT per.tag_id, per.type, per.ngram, round(CASE WHEN total <> 0 THEN per.uses::DOUBLE / total::DOUBLE END, 9) AS tf, round(log10(tags.n::DOUBLE / spread.n::DOUBLE), 9) AS idf,
+   round(CASE WHEN total <> 0 THEN per.uses::DOUBLE / total::DOUBLE END * log10(tags.n::DOUBLE / spread.n::DOUBLE), 9) AS tf_idf
+   FROM per JOIN tagsum USING (tag_id) JOIN spread USING (type, ngram) CROSS JOIN tags),
+ ranked AS (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY tf_idf DESC NULLS LAST, type, ngram) AS rn, count(*) OVER (PARTITION BY tag_id) AS tag_rows FROM scores)"""
+
+
+@query(_TFIDF + " SELECT tag_id, type, ngram, tf, idf, tf_idf FROM scores")
+def tfidf_simple(spark, sf_dir):
+    return tfidf.tfidf(_occurrences(Corpus(spark, sf_dir)))
+
+
+@query(_TFIDF + " SELECT DISTINCT type, ngram FROM ranked WHERE rn <= 10")
+def tfidf_top_per_tag(spark, sf_dir):
+    return tfidf.top_per_tag(tfidf.tfidf(_occurrences(Corpus(spark, sf_dir))), 10)
+
+
+@query(_TFIDF + " SELECT type, ngram FROM (SELECT DISTINCT type, ngram FROM ranked WHERE rn <= tag_rows * 500.0::DOUBLE / (SELECT count(*) FROM scores)) ORDER BY type, ngram LIMIT 500")
+def tfidf_top_total(spark, sf_dir):
+    return tfidf.top_total(tfidf.tfidf(_occurrences(Corpus(spark, sf_dir))), 500)
+
+
+@query(f"WITH {_UP} SELECT post.id AS post_id, CAST(coalesce(sum(uses_cnt), 0) AS BIGINT) AS length FROM post LEFT JOIN up ON up.post_id = post.id WHERE normalized GROUP BY post.id")
+def post_length(spark, sf_dir):
+    """Uses of unigrams in each normalized post, 0 if it has none."""
+    c = Corpus(spark, sf_dir)
+    posts = c.normalized.select(F.col("id").alias("post_id"))
+    return posts.join(c.postings, "post_id", "left").groupBy("post_id").agg(F.coalesce(F.sum("uses_cnt"), F.lit(0)).alias("length"))
+
+
+@query(f"WITH {_UP} SELECT post.id AS post_id, count(uses_cnt) AS words FROM post LEFT JOIN up ON up.post_id = post.id WHERE normalized GROUP BY post.id")
+def post_unique_words(spark, sf_dir):
+    """Postings with known uses of each normalized post."""
+    c = Corpus(spark, sf_dir)
+    posts = c.normalized.select(F.col("id").alias("post_id"))
+    return posts.join(c.postings, "post_id", "left").groupBy("post_id").agg(F.count("uses_cnt").alias("words"))
+
+
+@query("SELECT count(*) AS posts, count(*) FILTER (normalized) AS normalized FROM post")
+def post_counts(spark, sf_dir):
+    return Corpus(spark, sf_dir).posts.agg(F.count("*").alias("posts"), F.count(F.when(F.col("normalized"), 1)).alias("normalized"))
+
+
+@query(f"WITH {_UP} SELECT post.id AS post_id, count(ngram_id) AS ngrams FROM post LEFT JOIN up ON up.post_id = post.id GROUP BY post.id")
+def ngram_counts(spark, sf_dir):
+    """Postings of every post, 0 where it has none."""
+    c = Corpus(spark, sf_dir)
+    return c.posts.select(F.col("id").alias("post_id")).join(c.postings, "post_id", "left").groupBy("post_id").agg(F.count("ngram_id").alias("ngrams"))
+
+
+@query(f"WITH words AS (SELECT {_TOKENS} AS w FROM post), pairs AS (SELECT DISTINCT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS text FROM words WHERE len(w) > 1) SELECT text FROM unigram UNION ALL SELECT text FROM pairs")
+def all_ngram_texts(spark, sf_dir):
+    """Texts of the n-grams of all types, not distinct across types."""
+    c = Corpus(spark, sf_dir)
+    two = text.ngrams_of(text.words_of(text.post_text(F.col("title"), F.col("text"))), 2)
+    return c.unigrams.select("text").unionByName(c.posts.select(F.explode(two).alias("text")).distinct())
+
+
+@query(f"WITH {_UP} SELECT post_id, text, uses_cnt AS uses FROM up JOIN unigram ON unigram.id = up.ngram_id")
+def ngrams_of_posts(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    names = c.unigrams.select(F.col("id").alias("ngram_id"), "text")
+    return c.postings.join(names, "ngram_id").select("post_id", "text", F.col("uses_cnt").alias("uses"))
+
+
+@query("SELECT DISTINCT text FROM unigram WHERE id IN (SELECT ngram_id FROM unigramtopost WHERE post_id IN (SELECT id FROM post WHERE normalized))")
+def ngram_names_distinct(spark, sf_dir):
+    """Different n-gram texts of the normalized posts."""
+    c = Corpus(spark, sf_dir)
+    used = c.postings.join(c.normalized.select(F.col("id").alias("post_id")), "post_id", "left_semi").select(F.col("ngram_id").alias("id"))
+    return c.unigrams.join(used, "id", "left_semi").select("text").distinct()
+
+
+@query(f"WITH {_TP}, {_TU} SELECT nick, text, uses FROM tu JOIN tag ON tag.id = tu.tag_id JOIN userlj ON userlj.id = tu.user_id")
+def tags_of_user(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    names = c.tags.select(F.col("id").alias("tag_id"), "text")
+    nicks = c.users.select(F.col("id").alias("user_id"), "nick")
+    return c.tag_users.join(names, "tag_id").join(nicks, "user_id").select("nick", "text", "uses")
+
+
+@query("SELECT DISTINCT text FROM tag WHERE id IN (SELECT tag_id FROM tagtopost WHERE post_id IN (SELECT id FROM post))")
+def tags_of_posts(spark, sf_dir):
+    """Different tags of the posts."""
+    c = Corpus(spark, sf_dir)
+    used = c.tag_posts.join(c.posts.select(F.col("id").alias("post_id")), "post_id", "left_semi").select(F.col("tag_id").alias("id"))
+    return c.tags.join(used, "id", "left_semi").select("text").distinct()
+
+
+@query(f"WITH {_TP}, named AS (SELECT post_id, tag.text AS name FROM tp JOIN tag ON tag.id = tp.tag_id) SELECT post.id AS post_id, coalesce(string_agg(name, '|' ORDER BY name), '') AS tags, count(name) AS n FROM post LEFT JOIN named ON named.post_id = post.id GROUP BY post.id")
+def tags_map(spark, sf_dir):
+    """Each post's tags in order, an empty list where it has none."""
+    c = Corpus(spark, sf_dir)
+    named = c.tag_posts.join(c.tags.select(F.col("id").alias("tag_id"), "text"), "tag_id").select("post_id", "text")
+    lists = c.posts.select(F.col("id").alias("post_id")).join(named, "post_id", "left").groupBy("post_id").agg(F.array_sort(F.collect_list("text")).alias("tags"))
+    return lists.select("post_id", F.array_join("tags", "|").alias("tags"), F.size("tags").cast("long").alias("n"))
+
+
+@query("SELECT nick, r_name AS region, birthday, city_cstm, posts_num, cmmnt_in AS received, cmmnt_out AS posted FROM userlj JOIN region ON r_regionkey = region_id")
+def user_profile(spark, sf_dir):
+    """Users with their region; those without one are not listed, nulls stay null."""
+    c = Corpus(spark, sf_dir)
+    rows = c.users.join(c.regions.select(F.col("id").alias("region_id"), F.col("name").alias("region")), "region_id")
+    return rows.select("nick", "region", "birthday", "city_cstm", "posts_num", F.col("cmmnt_in").alias("received"), F.col("cmmnt_out").alias("posted"))
+
+
+@query("SELECT DISTINCT nick, url FROM post JOIN userlj ON userlj.id = user_id")
+def user_post_urls(spark, sf_dir):
+    c = Corpus(spark, sf_dir)
+    return c.posts.join(c.users.select(F.col("id").alias("user_id"), "nick"), "user_id").select("nick", "url").distinct()
+
+
+@query("SELECT id FROM post WHERE normalized")
+def normalized_ids(spark, sf_dir):
+    return Corpus(spark, sf_dir).normalized.select("id")
+
+
+@query("SELECT id FROM post WHERE normalized AND id IN (SELECT post_id FROM tagtopost WHERE tag_id IN (SELECT id FROM tag WHERE master_id IS NOT NULL)) AND id IN (SELECT post_id FROM unigramtopost WHERE ngram_id IS NOT NULL)")
+def normalized_ids_by_tags(spark, sf_dir):
+    """Normalized posts with any of the tags of the clean list and at least one unigram."""
+    c = Corpus(spark, sf_dir)
+    chosen = c.tags.where("master_id is not null").select(F.col("id").alias("tag_id"))
+    tagged = c.tag_posts.join(chosen, "tag_id", "left_semi").select(F.col("post_id").alias("id"))
+    return c.normalized.select("id").join(tagged, "id", "left_semi").join(c.postings.select(F.col("post_id").alias("id")), "id", "left_semi")
+
+
+@query("SELECT DISTINCT nick FROM documents WHERE nick IS NOT NULL AND nick NOT IN (SELECT nick FROM userlj WHERE nick IS NOT NULL)")
+def raw_users_new(spark, sf_dir):
+    """Nicks seen in captured texts that are no users yet: what an append to the work queue adds."""
+    seen = table(spark, sf_dir, "documents").select("nick", "doc_id")
+    return queue.appended(table(spark, sf_dir, "userlj").select("nick"), seen, ["nick"], ["doc_id"]).select("nick")
+
+
+@query("SELECT id, nick FROM userlj WHERE fetched IS NULL")
+def users_unfinished(spark, sf_dir):
+    return Corpus(spark, sf_dir).users.where("fetched is null").select("id", "nick")
+
+
+@query("SELECT id, row_number() OVER (ORDER BY id) AS row_number FROM post WHERE NOT normalized AND normalizer_id IS NULL")
+def posts_to_normalize(spark, sf_dir):
+    """Unreserved posts, numbered by id range by range."""
+    return queue.numbered(Corpus(spark, sf_dir).posts.where("not normalized and normalizer_id is null").select("id"), "id").select("id", F.col("row_number").cast("long"))
+
+
+@query("SELECT id FROM post WHERE NOT normalized ORDER BY (id % 1000003 * 7919 + 104729) % 1000003, id LIMIT 100")
+def posts_reserved_sample(spark, sf_dir):
+    return queue.reserved(Corpus(spark, sf_dir).posts.where("not normalized").select("id"), "id", 100)
+
+
+@query("SELECT user_id, url, id FROM (SELECT user_id, url, id, row_number() OVER (PARTITION BY user_id, url ORDER BY id) AS rn FROM post WHERE user_id IS NOT NULL AND url IS NOT NULL) WHERE rn = 1")
+def posts_first_wins(spark, sf_dir):
+    """One post per user and address: the first stays."""
+    return queue.first_wins(Corpus(spark, sf_dir).posts.select("user_id", "url", "id").dropna(subset=["user_id", "url"]), ["user_id", "url"], ["id"])
+
+
+@query("SELECT id, coalesce(normalized, false) OR id IN (SELECT post_id FROM unigramtopost) AS normalized FROM post")
+def posts_status(spark, sf_dir):
+    """Posts with the status set where they have postings."""
+    c = Corpus(spark, sf_dir)
+    rows = c.posts.select("id", F.coalesce("normalized", F.lit(False)).alias("normalized"))
+    return queue.with_status(rows, c._read("unigramtopost").select(F.col("post_id").alias("id")).dropna(), "id", "normalized")
+
+
+_POSITIONS = f"""WITH words AS (SELECT id AS post_id, list_filter({_TOKENS}, lambda x: x NOT IN ({_STOP})) AS w FROM post),
+ items AS (SELECT post_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS ngram FROM words)
+ SELECT post_id, ngram, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS uses_str, CAST(count(*) AS INTEGER) AS uses_cnt FROM items GROUP BY post_id, ngram"""
+
+
+@query(_POSITIONS)
+def unigram_positions(spark, sf_dir):
+    return text.postings(Corpus(spark, sf_dir).posts, "id", text.post_text(F.col("title"), F.col("text")), 1)
+
+
+@query(f"SELECT text FROM unigram WHERE text NOT IN ({_STOP})")
+def stopword_filter(spark, sf_dir):
+    stop = spark.createDataFrame([(w,) for w in text.STOP_WORDS], "text string")
+    return Corpus(spark, sf_dir).unigrams.select("text").where("text is not null").join(F.broadcast(stop), "text", "left_anti")  # twenty rows
+
+
+@query("SELECT " + ", ".join(f"CAST(count(*) FILTER ({c} IS NULL) AS BIGINT) AS {c}" for c in ("region_id", "birthday", "interests", "city_cstm", "posts_num", "cmmnt_in", "cmmnt_out", "bio")) + " FROM userlj")
+def null_profile(spark, sf_dir):
+    columns = ("region_id", "birthday", "interests", "city_cstm", "posts_num", "cmmnt_in", "cmmnt_out", "bio")
+    return Corpus(spark, sf_dir).users.agg(*(F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns))
+
+
+@query(f"WITH {_TP}, {_TU} SELECT user_id, count(*) AS tags, CAST(sum(uses) AS BIGINT) AS uses FROM tu GROUP BY user_id")
+def user_tag_totals(spark, sf_dir):
+    return Corpus(spark, sf_dir).tag_users.groupBy("user_id").agg(F.count("*").alias("tags"), F.sum("uses").alias("uses"))
+
+
+# ---- captured payloads --------------------------------------------------------------------------------------------
+
+
+def _rss(c: Corpus):
+    esc = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    clean = lambda x: F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    body = F.concat(F.lit("<rss><channel><item><title>"), clean(esc(F.col("title"))), F.lit("</title><guid>http://blog.test/"), F.col("url").cast("string"), F.lit(".html</guid></item></channel></rss>"))
+    return c.posts.select("id", body.alias("body"))
+
+
+@query("SELECT id, url AS number FROM post WHERE url IS NOT NULL")
+def guid_extract(spark, sf_dir):
+    """The post number in the address of each post's feed entry."""
+    rows = _rss(Corpus(spark, sf_dir)).where("body is not null").select("id", F.explode(parse.rss_items("body")).alias("item"))
+    return rows.select("id", parse.guid_number(F.col("item.guid")).alias("number"))
+
+
+@query()
+def rss_parse(spark, sf_dir):
+    return _rss(Corpus(spark, sf_dir)).where("body is not null").select("id", F.explode(parse.rss_items("body")).alias("item")).select("id", "item.title", "item.guid", "item.replies")
+
+
+@query()
+def html_text(spark, sf_dir):
+    """The texts of documents without their markup."""
+    return table(spark, sf_dir, "documents").select("doc_id", parse.html_text("text").alias("text"))
+
+
+@query("SELECT nick, unnest(['/', '/tag/' || nick]) AS path FROM userlj WHERE nick IS NOT NULL")
+def robots_disallow(spark, sf_dir):
+    body = F.concat(F.lit("User-Agent: other\nDisallow: /x\n\nUser-Agent: *\nDisallow: /\nDisallow: /tag/"), F.col("nick"), F.lit("\n"))
+    rows = table(spark, sf_dir, "userlj").where("nick is not null").select("nick", parse.disallowed(body).alias("paths"))
+    return rows.select("nick", F.explode("paths").alias("path"))
+
+
+@query("SELECT DISTINCT region_id, replace(nick, '_', '-') AS friend FROM userlj WHERE region_id IS NOT NULL AND nick IS NOT NULL")
+def friends_parse(spark, sf_dir):
+    """Friend lists, one per region, of its users."""
+    lines = table(spark, sf_dir, "userlj").where("region_id is not null and nick is not null").select("region_id", F.concat(F.lit("# list\n> "), F.col("nick"), F.lit("\n")).alias("body"))
+    return lines.select("region_id", F.explode(parse.friends(F.col("body"))).alias("friend")).distinct()
+
+
+@query("SELECT id, lower(text) AS name, CAST(id % 100000 AS INTEGER) AS uses FROM tag WHERE id IS NOT NULL AND regexp_matches(text, '^[a-zа-яё]+$')")
+def tag_anchors(spark, sf_dir):
+    """Tags and their uses as a tag page shows them."""
+    page = F.concat(F.lit('<p><a href="/tag/x" title="'), (F.col("id") % 100000).cast("string"), F.lit(' uses">'), F.col("text"), F.lit("</a></p>"))
+    rows = table(spark, sf_dir, "tag").where("id is not null").where(F.col("text").rlike("^[a-zа-яё]+$")).select("id", F.explode(parse.tag_anchors(page, F.lit("/tag/"))).alias("tag"))
+    return rows.select("id", "tag.name", "tag.uses")
+
+
+# ---- data sets, learners, scores ----------------------------------------------------------------------------------
+
+
+def _learning(c: Corpus, tags: int = 5):
+    """The top tags, the normalized posts' named postings with at least two terms, and the tags of posts."""
+    top = popularity.top_by_offset(popularity.tag_scores(c), 0, tags).select("tag_id", "text")
+    tagged = c.tag_posts.join(F.broadcast(top), "tag_id").select("post_id", "text")  # five rows
+    names = c.unigrams.select(F.col("id").alias("ngram_id"), F.col("text").alias("ngram"))
+    ids = c.normalized.select(F.col("id").alias("post_id")).join(tagged, "post_id", "left_semi")
+    return top, tagged, c.postings.join(ids, "post_id", "left_semi").join(names, "ngram_id").select("post_id", "ngram", "uses_cnt")
+
+
+_LEARN = (
+    _SCORE
+    + f""", {_UP}, top AS (SELECT tag_id, text FROM score ORDER BY score DESC, score.text, tag_id LIMIT 5),
+ tagged AS (SELECT post_id, top.text FROM tp JOIN top USING (tag_id)),
+ named AS (SELECT post_id, unigram.text AS ngram, uses_cnt FROM up JOIN unigram ON unigram.id = up.ngram_id
+           WHERE post_id IN (SELECT id FROM post WHERE normalized) AND post_id IN (SELECT post_id FROM tagged)),
+ fit AS (SELECT post_id FROM named GROUP BY post_id HAVING count(*) >= 2)"""
+)
+
+
+@query(_LEARN + " SELECT ngram, CAST(row_number() OVER (ORDER BY ngram COLLATE \"C\") - 1 AS INTEGER) AS slot FROM (SELECT DISTINCT ngram FROM named)")
+def vocab_index(spark, sf_dir):
+    return dataset.vocabulary(_learning(Corpus(spark, sf_dir))[2])
+
+
+@query(_LEARN + " SELECT post_id, tagged.text AS label, ngram, coalesce(uses_cnt, 0) AS value FROM named JOIN tagged USING (post_id) WHERE post_id IN (SELECT post_id FROM fit)")
+def matrix_single_long(spark, sf_dir):
+    _, tagged, named = _learning(Corpus(spark, sf_dir))
+    return dataset.single_label(named, tagged)
+
+
+@query(_LEARN + " SELECT p.post_id, 'Tag_' || top.text AS label, CAST((p.post_id, top.text) IN (SELECT post_id, text FROM tagged) AS INTEGER) AS value FROM (SELECT DISTINCT post_id FROM tagged WHERE post_id IN (SELECT post_id FROM fit)) p CROSS JOIN top")
+def matrix_multi_hot(spark, sf_dir):
+    top, tagged, named = _learning(Corpus(spark, sf_dir))
+    return dataset.multi_label(named, tagged, top)
+
+
+@query("WITH n AS (SELECT CAST(floor(count(DISTINCT id) * 0.2) AS BIGINT) AS k FROM post WHERE normalized), r AS (SELECT id, row_number() OVER (ORDER BY (id % 1000003 * 7919 + 104729) % 1000003, id) AS rn FROM post WHERE normalized) SELECT id AS post_id, CASE WHEN rn <= k THEN 'test' ELSE 'train' END AS part FROM r CROSS JOIN n")
+def train_test_split(spark, sf_dir):
+    return dataset.split(Corpus(spark, sf_dir).normalized.select(F.col("id").alias("post_id")), 0.2)
+
+
+_JUDGED = "judged AS (SELECT CAST(type = 1 AS INTEGER) AS truth, CAST(tf_idf > 0.001 AS INTEGER) AS predicted FROM tfidfsimple WHERE tf_idf IS NOT NULL AND type IS NOT NULL)"
+_COUNTS = f"WITH {_JUDGED}, c AS (SELECT count(*) FILTER (truth = 1 AND predicted = 1) AS tp, count(*) FILTER (truth = 0 AND predicted = 0) AS tn, count(*) FILTER (truth = 0 AND predicted = 1) AS fp, count(*) FILTER (truth = 1 AND predicted = 0) AS fn FROM judged)"
+
+
+def _judged(spark, sf_dir):
+    rows = table(spark, sf_dir, "tfidfsimple").select("type", "tf_idf").dropna()
+    return rows.select((F.col("type") == 1).cast("int").alias("truth"), (F.col("tf_idf") > 0.001).cast("int").alias("predicted"))
+
+
+@query(_COUNTS + " SELECT tp, tn, fp, fn FROM c")
+def confusion_counts(spark, sf_dir):
+    return evaluate.confusion_counts(_judged(spark, sf_dir), "truth", "predicted")
+
+
+@query(_COUNTS + " SELECT round((tp + tn) / (tp + tn + fp + fn)::DOUBLE, 9) AS accuracy, round(tp / (tp + fp)::DOUBLE, 9) AS precision, round(tp / (tp + fn)::DOUBLE, 9) AS recall, round(2 * tp / (2 * tp + fn + fp)::DOUBLE, 9) AS f_beta FROM c")
+def label_metrics(spark, sf_dir):
+    return evaluate.metrics(evaluate.confusion_counts(_judged(spark, sf_dir), "truth", "predicted"))
+
+
+@query(f"WITH {_JUDGED} SELECT truth, predicted, count(*) AS n FROM judged GROUP BY ALL")
+def confusion_matrix(spark, sf_dir):
+    return evaluate.confusion_matrix(_judged(spark, sf_dir), "truth", "predicted")
+
+
+@query("""WITH dims AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
+ bounds AS (SELECT d, min(x) AS lo, max(x) AS hi FROM dims GROUP BY d),
+ s AS (SELECT vec_id, label, d, CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE x - lo END AS x FROM dims JOIN bounds USING (d)),
+ dist AS (SELECT q.vec_id AS id, s.vec_id AS other, s.label, sqrt(sum((s.x - q.x) ** 2)) AS r FROM s JOIN s q ON q.d = s.d AND q.vec_id % 50 = 0 AND q.vec_id <> s.vec_id GROUP BY 1, 2, 3),
+ near AS (SELECT id, label FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY r, other) AS rn FROM dist) WHERE rn <= 3),
+ votes AS (SELECT id, label, count(*) AS n FROM near GROUP BY id, label)
+ SELECT id, label AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, label) AS rn FROM votes) WHERE rn = 1""")
+def knn3(spark, sf_dir):
+    """The label of every vector whose id is divisible by 50, by its three nearest among all vectors."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").cast("array<double>").alias("features"))
+    return models.nearest(rows, rows.where("id % 50 = 0"), 3)
+
+
+def _labelled(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").dropna().select(F.col("vec_id").alias("post_id"), array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), F.col("label").cast("double").alias("label"))
+    parts = dataset.split(rows.select("post_id"), 0.2)
+    both = rows.join(parts, "post_id")
+    return both.where("part = 'train'").drop("part"), both.where("part = 'test'").drop("part")
+
+
+@query()
+def lsa_project(spark, sf_dir):
+    """Posts of the top tags on the leading latent axes of their vocabulary (the most informative terms of each tag)."""
+    c = Corpus(spark, sf_dir)
+    _, _, named = _learning(c)
+    common = named.groupBy("ngram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(200).select("ngram")
+    named = named.join(F.broadcast(common), "ngram", "left_semi")  # the vocabulary of the matrix: 200 terms
+    rows = dataset.vectors(named, dataset.vocabulary(named))
+    return models.LSA(0.9).fit(rows).transform(rows).select("post_id", vector_to_array("features").alias("features"))
+
+
+@query()
+def naive_bayes(spark, sf_dir):
+    train, test = _labelled(spark, sf_dir)
+    return evaluate.confusion_matrix(models.naive_bayes(train).transform(test), "label", "prediction")
+
+
+@query()
+def decision_tree(spark, sf_dir):
+    train, test = _labelled(spark, sf_dir)
+    return evaluate.confusion_matrix(models.decision_tree(train).transform(test), "label", "prediction")
+
+
+@query()
+def classifier_chain(spark, sf_dir):
+    """Three labels of vectors, each predicted with its parent's help."""
+    train, test = _labelled(spark, sf_dir)
+    flags = lambda rows: rows.select("post_id", "features", *((F.pmod("label", F.lit(k)) == 0).cast("int").alias(f"m{k}") for k in (2, 3, 5)))
+    chain = models.ClassifierChain(["m2", "m3", "m5"]).fit(flags(train))
+    return chain.transform(flags(test)).select("post_id", "m2", "m3", "m5", "Pred_m2", "Pred_m3", "Pred_m5")
