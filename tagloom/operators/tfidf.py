@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.session import written
+
 
 def tfidf(occurrences: DataFrame) -> DataFrame:
     """``tag_id, type, ngram, tf, idf, tf_idf`` from rows of ``tag_id, type, ngram, uses`` (one per tag, n-gram and post).
@@ -12,7 +14,9 @@ def tfidf(occurrences: DataFrame) -> DataFrame:
     tf = uses in the tag / uses of all types in the tag; idf = log10(all tags / rows of the n-gram), rows and not tags, so
     it can be negative. Null uses add nothing. Scores are rounded to nine digits so that ties are ties.
     """
+    # written once: three aggregations read it
     per_ngram = occurrences.groupBy("tag_id", "type", "ngram").agg(F.coalesce(F.sum("uses"), F.lit(0)).alias("uses"), F.count("*").alias("rows"))
+    per_ngram = written(per_ngram, "ngrams")
     per_tag = per_ngram.groupBy("tag_id").agg(F.sum("uses").alias("tag_uses"))
     spread = per_ngram.groupBy("type", "ngram").agg(F.sum("rows").alias("rows"))
     tags = per_tag.agg(F.count("*").alias("tags"))  # one row

@@ -11,6 +11,7 @@ from tagloom.functions import parse, text
 from tagloom.ml import dataset, evaluate, models
 from tagloom.operators import packed, popularity, queue, tfidf
 from tagloom.operators.corpus import Corpus
+from tagloom.session import written
 from tagloom.sources.tables import table
 
 QUERIES: dict = {}
@@ -444,7 +445,7 @@ def _labelled(spark, sf_dir):
 def lsa_project(spark, sf_dir):
     """Posts of the top tags on the leading latent axes of their vocabulary (the most informative terms of each tag)."""
     c = Corpus(spark, sf_dir)
-    _, _, named = _learning(c)
+    named = written(_learning(c)[2], "named")
     common = named.groupBy("ngram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(200).select("ngram")
     named = named.join(F.broadcast(common), "ngram", "left_semi")  # the vocabulary of the matrix: 200 terms
     rows = dataset.vectors(named, dataset.vocabulary(named))
@@ -470,3 +471,76 @@ def classifier_chain(spark, sf_dir):
     flags = lambda rows: rows.select("post_id", "features", *((F.pmod("label", F.lit(k)) == 0).cast("int").alias(f"m{k}") for k in (2, 3, 5)))
     chain = models.ClassifierChain(["m2", "m3", "m5"]).fit(flags(train))
     return chain.transform(flags(test)).select("post_id", "m2", "m3", "m5", "Pred_m2", "Pred_m3", "Pred_m5")
+
+
+# ---- gates, checks and appends -------------------------------------------------------------------------------------
+
+
+def _pairs_of(n: int):
+    return (
+        f"WITH words AS (SELECT id AS post_id, {_TOKENS} AS w FROM post), items AS (SELECT post_id, unnest(list_filter(list_transform(generate_series(1, len(w) - {n} + 1), lambda i: array_to_string(w[i:i + {n} - 1], ' ')), lambda x: x NOT IN ({_STOP}))) AS ngram FROM words WHERE len(w) >= {n})"
+        " SELECT post_id, ngram, CAST(count(*) AS INTEGER) AS uses_cnt FROM items GROUP BY post_id, ngram"
+    )
+
+
+@query(_pairs_of(2))
+def digram_postings(spark, sf_dir):
+    return text.postings(Corpus(spark, sf_dir).posts, "id", text.post_text(F.col("title"), F.col("text")), 2).drop("uses_str")
+
+
+@query(_pairs_of(3))
+def trigram_postings(spark, sf_dir):
+    return text.postings(Corpus(spark, sf_dir).posts, "id", text.post_text(F.col("title"), F.col("text")), 3).drop("uses_str")
+
+
+@query("SELECT id, CASE WHEN r_name IS NULL THEN 'unknown' WHEN r_name = 'EUROPE' THEN 'collect' ELSE 'stop' END AS status FROM userlj LEFT JOIN region ON r_regionkey = region_id")
+def region_gate(spark, sf_dir):
+    """Users of a known region other than the wanted one go no further."""
+    c = Corpus(spark, sf_dir)
+    rows = c.users.select("id", "region_id").join(c.regions.select(F.col("id").alias("region_id"), "name"), "region_id", "left")
+    status = F.when(F.col("name").isNull(), "unknown").when(F.col("name") == "EUROPE", "collect").otherwise("stop")
+    return rows.select("id", status.alias("status"))
+
+
+_PATHS = ["/", "/data/foaf/", "/tag/", "/data/rss/", "/misc/fdata/", "/calendar", "/2015/", "/2012/"]
+
+
+@query("WITH r AS (SELECT CASE id % 4 WHEN 0 THEN ['/'] WHEN 1 THEN ['/tag/', '/calendar'] WHEN 2 THEN ['/data/rss/'] ELSE [] END AS p FROM userlj WHERE id IS NOT NULL), w AS (SELECT unnest([" + ", ".join(f"'{p}'" for p in _PATHS) + "]) AS path) SELECT path, count(*) FILTER (list_contains(p, path) OR list_contains(p, '/')) AS users FROM w CROSS JOIN r GROUP BY path")
+def robots_statistics(spark, sf_dir):
+    """How many users' robots files exclude each path; whoever excludes all is counted everywhere."""
+    kind = F.pmod("id", F.lit(4))
+    lines = F.when(kind == 0, "Disallow: /\n").when(kind == 1, "Disallow: /tag/\nDisallow: /calendar\n").when(kind == 2, "Disallow: /data/rss/\n").otherwise("")
+    rows = table(spark, sf_dir, "userlj").where("id is not null").select(parse.disallowed(F.concat(F.lit("User-Agent: *\n"), lines)).alias("paths"))
+    count = lambda p: F.count(F.when(F.array_contains("paths", p) | F.array_contains("paths", "/"), 1)).alias(p)
+    wide = rows.agg(*(count(p) for p in _PATHS))
+    return wide.select(F.explode(F.array(*(F.struct(F.lit(p).alias("path"), F.col(f"`{p}`").alias("users")) for p in _PATHS))).alias("x")).select("x.path", "x.users")
+
+
+@query("""SELECT 'post' AS name, count(*) - count(DISTINCT id) AS repeated, count(*) FILTER (user_id NOT IN (SELECT id FROM userlj)) AS dangling FROM post
+UNION ALL SELECT 'tag', count(*) - count(DISTINCT id), count(*) FILTER (master_id NOT IN (SELECT id FROM mastertag)) FROM tag
+UNION ALL SELECT 'tagtopost', count(*) - (SELECT count(*) FROM (SELECT DISTINCT tag_id, post_id FROM tagtopost)), count(*) FILTER (tag_id NOT IN (SELECT id FROM tag)) FROM tagtopost
+UNION ALL SELECT 'unigramtopost', count(*) - (SELECT count(*) FROM (SELECT DISTINCT ngram_id, post_id FROM unigramtopost)), count(*) FILTER (ngram_id NOT IN (SELECT id FROM unigram)) FROM unigramtopost""")
+def constraint_report(spark, sf_dir):
+    """Rows beyond the first of their key, and references that point nowhere; Spark enforces neither."""
+    out = None
+    for name, keys, column, target in (("post", ["id"], "user_id", "userlj"), ("tag", ["id"], "master_id", "mastertag"), ("tagtopost", ["tag_id", "post_id"], "tag_id", "tag"), ("unigramtopost", ["ngram_id", "post_id"], "ngram_id", "unigram")):
+        rows = table(spark, sf_dir, name)
+        repeated = rows.groupBy(*keys).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("repeated"))
+        lost = rows.select(column).dropna().join(table(spark, sf_dir, target).select(F.col("id").alias(column)), column, "left_anti").agg(F.count("*").alias("dangling"))
+        line = repeated.join(F.broadcast(lost), how="cross").select(F.lit(name).alias("name"), "repeated", "dangling")  # one row each
+        out = line if out is None else out.unionByName(line)
+    return out
+
+
+@query("SELECT DISTINCT lower(trim(text)) AS text FROM unigram WHERE text IS NOT NULL AND lower(trim(text)) NOT IN (SELECT text FROM tag WHERE text IS NOT NULL)")
+def tags_append(spark, sf_dir):
+    """What an insert of the unigrams' texts adds to the tags: unknown texts, each once."""
+    new = table(spark, sf_dir, "unigram").select(F.lower(F.trim("text")).alias("text"), "id")
+    return queue.appended(table(spark, sf_dir, "tag").select("text"), new, ["text"], ["id"]).select("text")
+
+
+@query("SELECT t.id, t.text, coalesce(m.text, t.text) AS master FROM tag t LEFT JOIN mastertag m ON m.id = t.master_id WHERE t.id IS NOT NULL")
+def tag_masters(spark, sf_dir):
+    """Each tag with the entry of the clean list it is known to mean, or itself."""
+    masters = table(spark, sf_dir, "mastertag").select(F.col("id").alias("master_id"), F.col("text").alias("master"))
+    return Corpus(spark, sf_dir).tags.join(masters, "master_id", "left").select("id", "text", F.coalesce("master", "text").alias("master"))
