@@ -75,6 +75,11 @@ def _without_fillers(rows: DataFrame, fillers: list[str]) -> DataFrame:
     return rows.where(F.col("cut.phrase").isNull() | known).select("text", F.col("cut.rest").alias("words")).distinct()
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """Over all cores: the rows are few bytes, so that they would end up in one task, but much is made of each."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "text")
+
+
 def _key(words: Column) -> Column:
     return F.array_join(words, "")
 
@@ -88,7 +93,7 @@ def _latin(key: Column) -> Column:
 
 def text_keys(texts: DataFrame, fillers: list[str]) -> DataFrame:
     """``text, key`` of every distinct text: its keys as typed, without fillers, and under the other keyboard layout."""
-    rows = texts.select("text").distinct()
+    rows = _spread(texts.select("text").distinct())
     raw = F.regexp_replace(F.lower(F.col("text")), r"[\p{Cf}]", "")
     latin, cyrillic = raw.rlike("[a-z]"), raw.rlike("[а-яё]")
     swapped = F.when(latin & ~cyrillic, F.translate(raw, LATIN_KEYS, CYRILLIC_KEYS)).when(cyrillic & ~latin, F.translate(raw, CYRILLIC_KEYS, LATIN_KEYS))
@@ -149,7 +154,7 @@ def canonical(texts: DataFrame, reference: DataFrame, fillers: list[str]) -> Dat
     bound = F.broadcast if small else (lambda x: x)
     same = keys.join(bound(entries), "key").select("text", "ref_id", F.lit(0).alias("edits"), F.length("key").alias("size"))
     rest = keys.join(same.select("text").distinct(), "text", "left_anti")
-    near = _candidates(rest, _segments(entries), small).withColumn("edits", F.levenshtein("key", "entry"))
+    near = _candidates(_spread(rest), _segments(entries), small).withColumn("edits", F.levenshtein("key", "entry"))
     near = near.where("edits <= k").select("text", "ref_id", "edits", F.length("entry").alias("size"))
     best = Window.partitionBy("text").orderBy("edits", F.desc("size"), "ref_id")
     return same.unionByName(near).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("text", "ref_id", "edits")
