@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import hashing as H
-from tagloom.session import scan_bytes
+from tagloom.session import scan_bytes, written
 
 ROWS = "key int, block long, kind int, data binary"
 ARROW = pa.schema([("key", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
@@ -195,7 +195,8 @@ def one_row_per_id(docs: DataFrame, text: Column | None = None) -> DataFrame:
     rest = [c for c in docs.columns if c != "doc_id"]
     order = F.struct(F.length(text), text, *rest)
     chosen = docs.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max_by(F.struct(*rest), order).alias("row")).select("doc_id", "row.*")
-    return docs.join(twice, "doc_id", "left_anti").unionByName(chosen)
+    # as a table, so that a task run again after a loss meets the same rows in the same order
+    return written(docs.join(twice, "doc_id", "left_anti").unionByName(chosen), "ids")
 
 
 def _spans_and_ends(documents: DataFrame, length: int, id_column: str, text_column: str) -> DataFrame:
