@@ -54,9 +54,12 @@ def _words(text: Column) -> Column:
 
 
 def _filler_forms(fillers: list[str]) -> Column:
-    """Filler phrases in either word order with the edits allowed: none below three letters, then one to three."""
-    forms = {f: 0 if len(f) < 3 else 1 if len(f) == 3 else 2 if len(f) < 9 else 3 for p in fillers for f in (p, " ".join(reversed(p.split())))}
-    for f in [f for f in forms if len(f) == 3]:
+    """Filler phrases in either word order with the edits allowed: none below three letters, then one to three.
+
+    Of three and four letters, of which two edits may leave nothing, any order of the letters is known too.
+    """
+    forms = {f: 0 if len(f) < 3 else 1 if len(f) < 5 else 2 if len(f) < 9 else 3 for p in fillers for f in (p, " ".join(reversed(p.split())))}
+    for f in [f for f in forms if 3 <= len(f) <= 4]:
         for mixed in permutations(f):
             forms.setdefault("".join(mixed), 0)
     return F.array(*(F.struct(F.lit(f).alias("phrase"), F.lit(n).alias("most")) for f, n in sorted(forms.items())))

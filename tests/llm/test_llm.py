@@ -177,12 +177,12 @@ def test_pairs(spark, chunk):
 
 
 def test_canonical(spark):
-    names = [(1, "котёнок и будка"), (2, "wooden lantern"), (3, "marathon"), (4, "East Vinestadt"), (5, None), (None, "x"), (6, "кэш")]
+    names = [(1, "котёнок и будка"), (2, "wooden lantern"), (3, "marathon"), (4, "East Vinestadt"), (5, None), (None, "x"), (6, "кэш"), (7, "variable"), (8, "polite variable")]
     reference = spark.createDataFrame(names, "ref_id long, name string")
     texts = {
         "wooden lantern": 2, "WOODEN-LANTERN!": 2, "lantern wooden": 2, "woodenlantern": 2, "my wodoen lantren": 2, "wооden lаntern stuff": 2,
         "kotenok i budka": 1, "rjn`yjr b ,elrf": 1, "будка и котёнок": 1, "marathon 2015": 3, "marahton": 3, "mrathn": 3, "east vinestadt": 4,
-        "something else": 0, "42": 0, "": 0, " ": 0, "x" * 5000: 0, "мой кэш": 6,
+        "something else": 0, "42": 0, "": 0, " ": 0, "x" * 5000: 0, "мой кэш": 6, "varialbe plite": 8, "мйо кэш": 6, "variable liife": 7,
     }
     rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "src_id long, text string")
     got = {r.src_id: r.ref_id for r in canonical.mapped(rows, reference, canonical.TAG_FILLERS).collect()}
