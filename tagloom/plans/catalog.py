@@ -306,6 +306,13 @@ def user_tag_totals(spark, sf_dir):
 # ---- captured payloads --------------------------------------------------------------------------------------------
 
 
+def _markup(x):
+    """A value as markup writes it, in a text or a quoted attribute."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        x = F.replace(x, F.lit(sign), F.lit(name))
+    return x
+
+
 def _rss(c: Corpus):
     esc = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     clean = lambda x: F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
@@ -348,8 +355,8 @@ def friends_parse(spark, sf_dir):
 @query("SELECT id, lower(text) AS name, CAST(id % 100000 AS INTEGER) AS uses FROM tag WHERE id IS NOT NULL AND regexp_matches(text, '^[a-zа-яё]+$')")
 def tag_anchors(spark, sf_dir):
     """Tags and their uses as a tag page shows them."""
-    page = F.concat(F.lit('<p><a href="/tag/x" title="'), (F.col("id") % 100000).cast("string"), F.lit(' uses">'), F.col("text"), F.lit("</a></p>"))
-    rows = table(spark, sf_dir, "tag").where("id is not null").where(F.col("text").rlike("^[a-zа-яё]+$")).select("id", F.explode(parse.tag_anchors(page, F.lit("/tag/"))).alias("tag"))
+    page = F.concat(F.lit('<p><a href="/tag/'), _markup(F.col("text")), F.lit('" title="'), (F.col("id") % 100000).cast("string"), F.lit(' uses">'), _markup(F.col("text")), F.lit("</a></p>"))
+    rows = table(spark, sf_dir, "tag").where("id is not null").select("id", F.explode(parse.tag_anchors(page, F.lit("/tag/"))).alias("tag"))
     return rows.select("id", "tag.name", "tag.uses")
 
 

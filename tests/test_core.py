@@ -184,3 +184,12 @@ def test_catalogue():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_tag_pages_show_every_tag(spark, tmp_path):
+    from tagloom.plans import catalog
+
+    texts = ["tea", " Green  Tea ", "C++ & <b>", 'say "x" > y', "it's 5", "&amp;", "Ёлка, 2015", " ", None]
+    spark.createDataFrame([*enumerate(texts, 99_995), (None, "lost")], "id long, text string").write.parquet(f"{tmp_path}/tag.parquet")
+    got = sorted(catalog.tag_anchors(spark, str(tmp_path)).collect())
+    assert got == [(k, t.strip().lower(), k % 100_000) for k, t in enumerate(texts, 99_995) if t and t.strip()]
