@@ -94,13 +94,23 @@ def tag_week_pivot(spark, sf_dir):
     return popularity.week_matrix(popularity.week_statistics(Corpus(spark, sf_dir), AS_OF, 10), AS_OF)
 
 
-def _occurrences(c: Corpus):
-    """``tag_id, type, ngram, uses`` of the unigram postings and of the adjacent two-word n-grams of the posts' texts."""
-    pairs = text.postings(c.posts, "id", text.post_text(F.col("title"), F.col("text")), 2)
+def _adjacent(posts, n: int):
+    """``type, ngram, post_id, uses`` of the adjacent n-word n-grams of the posts' texts; ``n`` is their type."""
+    # spread by post, so that counting within a post moves texts and not their n-grams
+    rows = text.postings(posts.select("id", "title", "text").repartition("id"), "id", text.post_text(F.col("title"), F.col("text")), n)
+    return rows.select(F.lit(n).alias("type"), "ngram", "post_id", F.col("uses_cnt").alias("uses"))
+
+
+def _ngrams(c: Corpus):
+    """``type, ngram, post_id, uses`` of all three types: the unigram postings and the n-grams of two and three words."""
     one = c.postings.join(c.unigrams.select(F.col("id").alias("ngram_id"), F.col("text").alias("ngram")), "ngram_id")
     rows = one.select(F.lit(1).alias("type"), "ngram", "post_id", F.col("uses_cnt").alias("uses"))
-    rows = rows.unionByName(pairs.select(F.lit(2).alias("type"), "ngram", "post_id", F.col("uses_cnt").alias("uses")))
-    return c.tag_posts.join(rows, "post_id").select("tag_id", "type", "ngram", "uses")
+    return rows.unionByName(_adjacent(c.posts, 2)).unionByName(_adjacent(c.posts, 3))
+
+
+def _occurrences(c: Corpus):
+    """``tag_id, type, ngram, uses`` of the n-grams of all types."""
+    return c.tag_posts.join(_ngrams(c), "post_id").select("tag_id", "type", "ngram", "uses")
 
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -167,23 +177,25 @@ def ngram_counts(spark, sf_dir):
 def all_ngram_texts(spark, sf_dir):
     """Texts of the n-grams of all types, not distinct across types."""
     c = Corpus(spark, sf_dir)
-    two = text.ngrams_of(text.words_of(text.post_text(F.col("title"), F.col("text"))), 2)
-    return c.unigrams.select("text").unionByName(c.posts.select(F.explode(two).alias("text")).distinct())
+    words = text.words_of(text.post_text(F.col("title"), F.col("text")))
+    two, three = (c.posts.select(F.explode(text.ngrams_of(words, n)).alias("text")).distinct() for n in (2, 3))
+    return c.unigrams.select("text").unionByName(two).unionByName(three)
 
 
 @query(f"WITH {_UP} SELECT post_id, text, uses_cnt AS uses FROM up JOIN unigram ON unigram.id = up.ngram_id")
 def ngrams_of_posts(spark, sf_dir):
-    c = Corpus(spark, sf_dir)
-    names = c.unigrams.select(F.col("id").alias("ngram_id"), "text")
-    return c.postings.join(names, "ngram_id").select("post_id", "text", F.col("uses_cnt").alias("uses"))
+    """Texts and uses of each post's n-grams of all types."""
+    return _ngrams(Corpus(spark, sf_dir)).select("post_id", F.col("ngram").alias("text"), "uses")
 
 
 @query("SELECT DISTINCT text FROM unigram WHERE id IN (SELECT ngram_id FROM unigramtopost WHERE post_id IN (SELECT id FROM post WHERE normalized))")
 def ngram_names_distinct(spark, sf_dir):
-    """Different n-gram texts of the normalized posts."""
+    """Different n-gram texts of the normalized posts, over all types."""
     c = Corpus(spark, sf_dir)
     used = c.postings.join(c.normalized.select(F.col("id").alias("post_id")), "post_id", "left_semi").select(F.col("ngram_id").alias("id"))
-    return c.unigrams.join(used, "id", "left_semi").select("text").distinct()
+    words = text.words_of(text.post_text(F.col("title"), F.col("text")))
+    two, three = (c.normalized.select(F.explode(text.ngrams_of(words, n)).alias("text")) for n in (2, 3))
+    return c.unigrams.join(used, "id", "left_semi").select("text").unionByName(two).unionByName(three).distinct()
 
 
 @query(f"WITH {_TP}, {_TU} SELECT nick, text, uses FROM tu JOIN tag ON tag.id = tu.tag_id JOIN userlj ON userlj.id = tu.user_id")

@@ -193,3 +193,36 @@ def test_tag_pages_show_every_tag(spark, tmp_path):
     spark.createDataFrame([*enumerate(texts, 99_995), (None, "lost")], "id long, text string").write.parquet(f"{tmp_path}/tag.parquet")
     got = sorted(catalog.tag_anchors(spark, str(tmp_path)).collect())
     assert got == [(k, t.strip().lower(), k % 100_000) for k, t in enumerate(texts, 99_995) if t and t.strip()]
+
+
+def test_ngrams_of_all_three_types(spark, tmp_path):
+    from collections import Counter
+    from math import log10
+
+    from tagloom.plans import catalog
+
+    posts = [(1, "A b", "c a, b C", True), (2, None, "a b", False), (3, "a", "b c", True)]
+    spark.createDataFrame(posts, "id long, title string, text string, normalized boolean").write.parquet(f"{tmp_path}/post.parquet")
+    spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "id long, text string").write.parquet(f"{tmp_path}/unigram.parquet")
+    uses = [(1, 1, 2), (2, 1, 2), (3, 1, 2), (1, 2, 1), (3, 3, 1)]
+    spark.createDataFrame(uses, "ngram_id long, post_id long, uses_cnt int").write.parquet(f"{tmp_path}/unigramtopost.parquet")
+    tagged = [(7, 1), (7, 2), (8, 2), (8, 3), (9, 3)]
+    spark.createDataFrame(tagged, "tag_id long, post_id long").write.parquet(f"{tmp_path}/tagtopost.parquet")
+    rows = Counter({(p, 1, " abc"[g]): n for g, p, n in uses})
+    for p, words in ((1, "abcabc"), (2, "ab"), (3, "abc")):
+        rows.update((p, n, " ".join(words[k : k + n])) for n in (2, 3) for k in range(len(words) - n + 1))
+    sums, totals, spread = Counter(), Counter(), Counter()
+    for tag, post in tagged:
+        for (p, n, g), count in rows.items():
+            if p == post:
+                sums[tag, n, g] += count
+                totals[tag] += count
+                spread[n, g] += 1
+    folder = str(tmp_path)
+    got = {(r.tag_id, r.type, r.ngram): (r.tf, r.idf) for r in catalog.tfidf_simple(spark, folder).collect()}
+    assert got == {(t, n, g): (round(c / totals[t], 9), round(log10(3 / spread[n, g]), 9)) for (t, n, g), c in sums.items()}
+    assert {r.type for r in catalog.tfidf_top_per_tag(spark, folder).collect()} == {1, 2, 3}
+    assert {r.type for r in catalog.tfidf_top_total(spark, folder).collect()} == {1, 2, 3}
+    assert sorted(catalog.ngrams_of_posts(spark, folder).collect()) == sorted((p, g, c) for (p, _, g), c in rows.items())
+    assert sorted(r.text for r in catalog.all_ngram_texts(spark, folder).collect()) == sorted(["a", "b", "c", *{g for _, n, g in rows if n > 1}])
+    assert sorted(r.text for r in catalog.ngram_names_distinct(spark, folder).collect()) == sorted({g for p, _, g in rows if p != 2})
