@@ -462,12 +462,9 @@ def _labelled(spark, sf_dir):
 
 @query()
 def lsa_project(spark, sf_dir):
-    """Posts of the top tags on the leading latent axes of their vocabulary (the most informative terms of each tag)."""
-    c = Corpus(spark, sf_dir)
-    named = written(_learning(c)[2], "named")
-    common = named.groupBy("ngram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(200).select("ngram")
-    named = named.join(F.broadcast(common), "ngram", "left_semi")  # the vocabulary of the matrix: 200 terms
-    rows = dataset.vectors(named, dataset.vocabulary(named))
+    """Posts of the top tags on the leading latent axes of all their terms."""
+    named = written(_learning(Corpus(spark, sf_dir))[2], "named")
+    rows = written(dataset.vectors(named, dataset.vocabulary(named)), "vectors")
     return models.LSA(0.9).fit(rows).transform(rows).select("post_id", vector_to_array("features").alias("features"))
 
 

@@ -226,3 +226,34 @@ def test_ngrams_of_all_three_types(spark, tmp_path):
     assert sorted(catalog.ngrams_of_posts(spark, folder).collect()) == sorted((p, g, c) for (p, _, g), c in rows.items())
     assert sorted(r.text for r in catalog.all_ngram_texts(spark, folder).collect()) == sorted(["a", "b", "c", *{g for _, n, g in rows if n > 1}])
     assert sorted(r.text for r in catalog.ngram_names_distinct(spark, folder).collect()) == sorted({g for p, _, g in rows if p != 2})
+
+
+def test_lsa_keeps_all_posts_terms_and_axes(spark, tmp_path):
+    from tagloom.plans import catalog
+
+    posts = 60
+    spark.createDataFrame([(k, 1, True) for k in range(posts)], "id long, user_id long, normalized boolean").write.parquet(f"{tmp_path}/post.parquet")
+    spark.createDataFrame([(1, "t")], "id long, text string").write.parquet(f"{tmp_path}/tag.parquet")
+    spark.createDataFrame([(1, k) for k in range(posts)], "tag_id long, post_id long").write.parquet(f"{tmp_path}/tagtopost.parquet")
+    spark.createDataFrame([(k, f"w{k}") for k in range(4 * posts)], "id long, text string").write.parquet(f"{tmp_path}/unigram.parquet")
+    spark.createDataFrame([(k, k // 4, 1) for k in range(4 * posts)], "ngram_id long, post_id long, uses_cnt int").write.parquet(f"{tmp_path}/unigramtopost.parquet")
+    rows = catalog.lsa_project(spark, str(tmp_path)).collect()
+    assert sorted(r.post_id for r in rows) == list(range(posts))
+    assert {len(r.features) for r in rows} == {54}  # equal singular values: 0.9 of 60
+
+
+def test_lsa_equals_the_decomposition(spark):
+    import numpy as np
+    from pyspark.ml.linalg import SparseVector
+
+    for shape in ((12, 30), (30, 12)):
+        x = np.random.default_rng(5).integers(0, 4, shape) * 1.0
+        x[3] = x[2]
+        rows = spark.createDataFrame([(k, SparseVector(shape[1], list(np.flatnonzero(r)), list(r[r > 0]))) for k, r in enumerate(x)], ["post_id", "features"])
+        values = np.linalg.svd(x, compute_uv=False)
+        for share in (0.5, 0.9, 1.0):
+            got = np.array([r.features.toArray() for r in models.LSA(share).fit(rows).transform(rows).orderBy("post_id").collect()])
+            rank = min(int(np.searchsorted(np.cumsum(values) / values.sum(), share - 1e-9) + 1), int((values > 1e-9).sum()))
+            u, s, _ = np.linalg.svd(x, full_matrices=False)
+            assert got.shape[1] == rank
+            assert np.allclose(got @ got.T, (u[:, :rank] * s[:rank] ** 2) @ u[:, :rank].T)
