@@ -163,4 +163,4 @@ def p9_found(spark, sf_dir):
 @query
 def p9_shared_share(spark, sf_dir):
     """For each document how much of it stands elsewhere too."""
-    return spans.shared_shares(table(spark, sf_dir, "documents"), length=40)
+    return spans.document_shares(table(spark, sf_dir, "documents"), length=40)

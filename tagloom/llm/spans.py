@@ -235,3 +235,13 @@ def shared_shares(documents: DataFrame, length: int = 40, id_column: str = "doc_
         )
         .withColumn("share", F.col("shared_words") / F.col("words"))
     )
+
+
+def document_shares(documents: DataFrame, length: int = 40, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``shared_shares`` of every document: those of fewer than ``length`` words, null texts too, have no spans and share 0."""
+    docs = one_row_per_id(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
+    words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "[ \\t\\n\\r]+"), lambda w: w != ""))
+    shares = shared_shares(docs, length, "doc_id", "text").withColumnRenamed("words", "own")
+    rows = docs.select("doc_id", words.cast("long").alias("words")).join(shares, "doc_id", "left")
+    zero = {"shared_words": 0, "spans": 0, "share": 0.0}
+    return rows.select("doc_id", F.coalesce("own", "words").alias("words"), *(F.coalesce(c, F.lit(z)).alias(c) for c, z in zero.items()))

@@ -57,6 +57,16 @@ def test_spans_repeated_ids_and_empty(spark):
     assert share == {1: (3, 3, 1.0), 2: (4, 3, 0.75)}
 
 
+def test_shares_of_every_document(spark, tmp_path):
+    from tagloom.llm import queries
+
+    whole = " ".join(f"w{i}" for i in range(40))
+    docs = [(1, whole), (2, f"a {whole}\n\tb "), (3, " a\u00a0b  c\n"), (4, None), (5, " \t"), (6, " ".join("xyz" * 20)), (6, "x"), (None, whole)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.words, r.shared_words, r.spans, r.share) for r in queries.p9_shared_share(spark, str(tmp_path)).collect()}
+    assert got == {1: (40, 40, 1, 1.0), 2: (42, 40, 1, 40 / 42), 3: (2, 0, 0, 0.0), 4: (0, 0, 0, 0.0), 5: (0, 0, 0, 0.0), 6: (60, 0, 0, 0.0)}
+
+
 def test_spans_hot_copies(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.lit(text)).otherwise(F.concat(F.lit("u"), "id")).alias("text"))
