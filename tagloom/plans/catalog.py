@@ -325,23 +325,40 @@ def _markup(x):
     return x
 
 
+def _element(name: str, value):
+    """An element of a feed; none where the value is null. Signs that XML forbids are dropped, carriage returns kept."""
+    clean = F.regexp_replace(value, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x{fffe}\x{ffff}]", "")
+    return F.coalesce(F.concat(F.lit(f"<{name}>"), F.replace(_markup(clean), F.lit("\r"), F.lit("&#13;")), F.lit(f"</{name}>")), F.lit(""))
+
+
 def _rss(c: Corpus):
-    esc = lambda x: F.replace(F.replace(F.coalesce(x, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
-    clean = lambda x: F.regexp_replace(x, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
-    body = F.concat(F.lit("<rss><channel><item><title>"), clean(esc(F.col("title"))), F.lit("</title><guid>http://blog.test/"), F.col("url").cast("string"), F.lit(".html</guid></item></channel></rss>"))
-    return c.posts.select("id", body.alias("body"))
+    """``id, body``: a feed with each post's entry, all that the tables have of it."""
+    named = c.tag_posts.join(c.tags.select(F.col("id").alias("tag_id"), "text"), "tag_id")
+    tags = named.groupBy(F.col("post_id").alias("id")).agg(F.array_sort(F.collect_list("text")).alias("tags"))
+    parts = [
+        _element("title", F.col("title")),
+        _element("description", F.col("text")),
+        _element("pubDate", F.date_format("date", "EEE, dd MMM yyyy HH:mm:ss 'GMT'")),
+        _element("guid", F.concat(F.lit("http://blog.test/"), F.col("url").cast("string"), F.lit(".html"))),
+        F.array_join(F.transform(F.coalesce("tags", F.array().cast("array<string>")), lambda t: _element("category", t)), ""),
+        _element("reply-count", F.col("comments").cast("string")),
+    ]
+    body = F.concat(F.lit("<rss><channel><item>"), *parts, F.lit("</item></channel></rss>"))
+    return c.posts.join(tags, "id", "left").select("id", "url", body.alias("body"))
 
 
 @query("SELECT id, url AS number FROM post WHERE url IS NOT NULL")
 def guid_extract(spark, sf_dir):
     """The post number in the address of each post's feed entry."""
-    rows = _rss(Corpus(spark, sf_dir)).where("body is not null").select("id", F.explode(parse.rss_items("body")).alias("item"))
+    rows = _rss(Corpus(spark, sf_dir)).where("url is not null").select("id", F.explode(parse.rss_items("body")).alias("item"))
     return rows.select("id", parse.guid_number(F.col("item.guid")).alias("number"))
 
 
 @query()
 def rss_parse(spark, sf_dir):
-    return _rss(Corpus(spark, sf_dir)).where("body is not null").select("id", F.explode(parse.rss_items("body")).alias("item")).select("id", "item.title", "item.guid", "item.replies")
+    """Each post as its feed entry gives it."""
+    rows = _rss(Corpus(spark, sf_dir)).select("id", F.explode(parse.rss_items("body")).alias("item"))
+    return rows.select("id", "item.title", "item.description", parse.rss_time(F.col("item.published")).alias("published"), "item.guid", "item.tags", "item.replies")
 
 
 @query()

@@ -257,3 +257,20 @@ def test_lsa_equals_the_decomposition(spark):
             u, s, _ = np.linalg.svd(x, full_matrices=False)
             assert got.shape[1] == rank
             assert np.allclose(got @ got.T, (u[:, :rank] * s[:rank] ** 2) @ u[:, :rank].T)
+
+
+def test_feeds_hold_whole_posts(spark, tmp_path):
+    from tagloom.plans import catalog
+
+    at = datetime(2015, 10, 19, 8, 11, 41)
+    posts = [(1, 51, at, "A & <b>", 'x > "y"\r\n]]> &amp; \x01z', 4), (2, 52, None, None, None, None), (3, None, at, "t", "<p>q</p>", 0)]
+    spark.createDataFrame(posts, "id long, url long, date timestamp_ntz, title string, text string, comments int").write.parquet(f"{tmp_path}/post.parquet")
+    spark.createDataFrame([(7, "Tea & <x>"), (8, "чай")], "id long, text string").write.parquet(f"{tmp_path}/tag.parquet")
+    spark.createDataFrame([(8, 1), (7, 1), (7, 1), (8, 3)], "tag_id long, post_id long").write.parquet(f"{tmp_path}/tagtopost.parquet")
+    got = {r.id: (r.title, r.description, str(r.published), r.guid, r.tags, r.replies) for r in catalog.rss_parse(spark, str(tmp_path)).selectExpr("* except (published)", "cast(published as string) as published").collect()}
+    assert got == {
+        1: ("A & <b>", 'x > "y"\r\n]]> &amp; z', str(at), "http://blog.test/51.html", ["tea & <x>", "чай"], 4),
+        2: (None, None, "None", "http://blog.test/52.html", [], None),
+        3: ("t", "<p>q</p>", str(at), None, ["чай"], 0),
+    }
+    assert sorted(catalog.guid_extract(spark, str(tmp_path)).collect()) == [(1, 51), (2, 52)]
