@@ -62,7 +62,7 @@ def fill(sizes: np.ndarray, capacity: int, most_items: int, most_cost: float, we
                 free.append(row)
         out[i] = box
         new = (residual[0] - size, residual[1] - 1, residual[2] - float(size) * size)
-        if new[0] <= 0 or new[1] <= 0:
+        if new[0] <= 0 or new[1] <= 0 or new[2] <= 0:
             continue  # full
         if new in states:
             states[new].append(box)
@@ -96,13 +96,14 @@ def packed_containers(
     Each row of text with at least one token lies in exactly one container, whole (``piece`` 0), unless it is longer than
     ``capacity``: then it is cut into full containers of its own and a rest that is packed like any other item. Rows
     without an id and texts without tokens are left out; rows that repeat an id are items of their own. The default
-    attention capacity, ``capacity`` squared, is that of one document filling the container.
+    attention capacity, ``capacity`` squared, is that of one document filling the container and never binds beside that of
+    tokens; with a smaller one, an item that alone exceeds it gets a container of its own.
     """
     if capacity < 1 or most_items < 1:
         raise ValueError("capacities must be at least 1")
     most_cost = float(capacity) ** 2 if most_cost is None else float(most_cost)
-    if most_cost < float(capacity) ** 2:
-        raise ValueError("an item of the full capacity must fit")
+    if not most_cost >= 1:
+        raise ValueError("capacities must be at least 1")
     ids = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).where("doc_id is not null")
     items = written(token_sizes(ids, ["doc_id"], "text", vocabulary).where("tokens > 0"), "sizes")
     pieces = items.select(

@@ -240,6 +240,19 @@ def test_token_counts_are_exact():
     assert counter.count(None) == 0
 
 
+def test_containers_of_bounded_cost(spark):
+    rng = random.Random(6)
+    rows = [(k, " ".join(["tea"] * rng.choice([3, 10, 20, 60, 90]))) for k in range(120)]
+    got = packing.packed_containers(spark.createDataFrame(rows, "doc_id long, text string"), capacity=64, most_items=8, most_cost=500).collect()
+    counter, sizes, boxes = tokens.TokenCounter(), defaultdict(int), defaultdict(list)
+    for r in got:
+        sizes[r.doc_id] += r.tokens
+        boxes[r.container].append(r.tokens)
+    assert sizes == {k: counter.count(t) for k, t in rows}
+    assert all(len(b) == 1 or sum(x * x for x in b) <= 500 for b in boxes.values())
+    assert any(len(b) == 1 and b[0] ** 2 > 500 for b in boxes.values()) and any(len(b) > 1 for b in boxes.values())
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_containers(spark, rule):
     rng = random.Random(4)
