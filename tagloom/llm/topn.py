@@ -1,32 +1,64 @@
 """Problem 3: the top N items within every group, by simultaneous bisection of all groups' cutoffs.
 
-Score and identifiers become one order-preserving code, kept as digits of 32 bits. In each round the rows above 255
-midpoints of every open group's interval are counted at once (partially before the shuffle, so a hot group is spread
-over all tasks); the interval with the N-th row stays open, rows before it are taken, rows after it dropped. No group is
-sorted and none is gathered in one task.
+Score and identifiers become one order-preserving code. In each round the rows of every open group's interval are counted
+between 4,095 midpoints at once, partially before the shuffle; the part with the N-th row is the group's next interval, until
+exactly N rows lie at or before its end. The first round drops what lies after the interval. Every part brings its own
+least and greatest code along, so the next midpoints need no pass of their own and digits all of whose values are equal are
+skipped. No group is sorted and none is gathered in one task.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
 
+from tagloom.llm import skew
 from tagloom.session import written
 
-#: Intervals a round cuts each open interval into.
-WAYS = 256
+#: Parts a round cuts each open interval into.
+WAYS = 4096
+#: Rows from which the rows kept are written anew once a round leaves less than a quarter of them.
+REWRITE = 1 << 20
 
 
-@F.pandas_udf(LongType())
-def _ordered_bits(x: pd.Series) -> pd.Series:
-    bits = (x.to_numpy(dtype="float64", na_value=float("nan")) + 0.0).view("int64")
-    return pd.Series(bits ^ ((bits >> 63) & 0x7FFFFFFFFFFFFFFF))
+def _code(score: str, ids: list[str]) -> Column:
+    """Ascending where the score descends, then by the ids; -0.0 is 0.0."""
+    bits = f"cast(reflect('java.lang.Double', 'doubleToLongBits', {score} + 0.0D) as bigint)"
+    down = F.expr(f"transform(array({bits}), b -> ~(b ^ (shiftright(b, 63) & 9223372036854775807L)))[0]")
+    return F.struct(down.alias("d0"), *(F.col(c).cast("long").alias(f"d{k}") for k, c in enumerate(ids, 1)))
 
 
-def _digits(code: Column) -> list[Column]:
-    return [F.shiftright(code, 32), code.bitwiseAND(F.lit(0xFFFFFFFF))]
+def _cut(digits: int) -> Column:
+    """The part of ``lo`` to ``hi`` in which ``code`` lies, by the first digit in which both ends differ."""
+    half = lambda x: f"shiftright({x}, 1)"  # noqa: E731 - halves, so that no difference overflows
+    out = "0L"
+    for k in reversed(range(digits)):
+        x, lo, hi = f"code.d{k}", f"lo.d{k}", f"hi.d{k}"
+        near = f"{half(lo)} = {half(hi)}"
+        out = f"case when {lo} = {hi} then {out} when {near} then {x} - {lo} else div({half(x)} - {half(lo)}, div({half(hi)} - {half(lo)}, {WAYS}) + 1) end"
+    return F.expr(out)
+
+
+def _edges(members: DataFrame) -> DataFrame:
+    """Of each group the part with its last wanted row: its ends, the rows ``need``-ed of its ``n``, and whether these are all.
+
+    ``kept`` is how many rows of the group the members are taken from; in the first round, those up to the part's end.
+    """
+    known = ["kept"] if "kept" in members.columns else []
+    parts = members.groupBy("g", "need", *known, "cut").agg(F.count("*").alias("n"), F.min("code").alias("lo"), F.max("code").alias("hi"))
+    by = Window.partitionBy("g").orderBy("cut")  # at most WAYS + 1 rows a group
+    before = F.coalesce(F.sum("n").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = parts.withColumns({"before": before, "last": F.lead("cut").over(by).isNull()})
+    chosen = placed.where("before < need and (before + n >= need or last)")
+    kept = F.col("kept") if known else F.expr("before + n").alias("kept")
+    return chosen.select("g", "lo", "hi", (F.col("need") - F.col("before")).alias("need"), "n", kept, F.expr("n <= need - before").alias("done"))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def top_n_per_group(df: DataFrame, group: str, score: str, ids: list[str], n: int) -> DataFrame:
@@ -37,50 +69,37 @@ def top_n_per_group(df: DataFrame, group: str, score: str, ids: list[str], n: in
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    base = df.where(F.col(score).isNotNull() & ~F.isnan(score)).select(F.col(group).alias("g"), *ids, F.col(score).alias("s")).dropna()
-    items = base.groupBy("g", *ids).agg(F.max("s").alias("s"))
-    digits = _digits(F.bitwise_not(_ordered_bits("s")))
-    for c in ids:
-        digits += _digits(F.col(c).cast("long"))
-    open_rows = items.withColumn("code", F.array(*digits)).withColumn("need", F.lit(n).cast("long"))
-    open_rows = written(open_rows, "items")
-    taken: list[DataFrame] = []
-    keep = ["g", *ids, "s"]
-    for level in range(2 + 2 * len(ids)):
-        at = F.col("code")[level]
-        while True:
-            bounds = written(
-                open_rows.groupBy("g").agg(F.count("*").alias("rows"), F.min(at).alias("low"), F.max(at).alias("high")),
-                "bounds",
-            )
-            state = bounds.agg(F.count("*"), F.count(F.when(F.col("low") < F.col("high"), 1))).first()
-            if not state[0]:
-                return _union(taken, items, keep, df, group, ids, score)
-            if not state[1]:
-                break  # every open group ties here: go on to the next digit
-            tasked = open_rows.join(bounds, "g").withColumn(
-                "cut", F.expr(f"case when rows <= need then -1 else div(code[{level}] - low, div(high - low, {WAYS}) + 1) end")
-            )
-            counted = tasked.groupBy("g", "need", "cut").agg(F.count("*").alias("n"))
-            before = F.coalesce(F.sum("n").over(Window.partitionBy("g").orderBy("cut").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-            edge = (
-                counted.withColumn("before", before)
-                .where("before < need and before + n >= need or cut = -1")
-                .select("g", F.col("cut").alias("edge"), (F.col("need") - F.col("before")).alias("rest"), "n")
-            )
-            placed = written(
-                tasked.join(edge, "g")
-                .where("cut <= edge")
-                .select(*keep, "code", F.col("rest").alias("need"), F.expr("cut = -1 or cut < edge or n = rest").alias("taken")),
-                "round",
-            )
-            taken.append(placed.where("taken").select(*keep))
-            open_rows = placed.where("not taken").drop("taken")
-    return _union(taken + [open_rows.select(*keep)], items, keep, df, group, ids, score)
-
-
-def _union(taken: list[DataFrame], items: DataFrame, keep: list[str], df: DataFrame, group: str, ids: list[str], score: str) -> DataFrame:
-    out = taken[0] if taken else items.select(*keep).limit(0)
-    for more in taken[1:]:
-        out = out.unionByName(more)
-    return out.select(F.col("g").alias(group), *ids, F.col("s").alias(score))
+    columns = [f"id{k}" for k in range(len(ids))]
+    base = df.select(F.col(group).alias("g"), *(F.col(c).alias(x) for c, x in zip(ids, columns, strict=True)), F.col(score).cast("double").alias("s"))
+    base = base.dropna().where(~F.isnan("s"))
+    code = _code("s", columns)
+    ends = base.withColumn("code", code).groupBy("g").agg(F.count("*").alias("rows"), F.min("code").alias("lo"), F.max("code").alias("hi"))
+    groups = written(ends.withColumn("need", F.lit(n).cast("long")), "groups")
+    total, largest = groups.agg(F.sum("rows"), F.max("rows")).first()
+    cut = _cut(1 + len(ids))
+
+    def once(rows: DataFrame) -> DataFrame:
+        held = rows.groupBy("g", *columns).agg(F.max("s").alias("s"), *(F.first(c).alias(c) for c in ("lo", "hi", "need")))
+        return held.withColumn("code", code).withColumn("cut", cut).select("g", *columns, "s", "code", "need", "cut")
+
+    items = written(skew.joined(base, groups, "g", "rows", total or 0, largest or 0, once), "items")
+    rows, state = items.drop("need", "cut"), written(_edges(items), "edges")
+    closed: list[DataFrame] = []
+    scanned = None
+    while True:
+        closed.append(state.where("done").select("g", "hi", "kept"))
+        opened = state.where("not done")
+        still, wide, kept, most = state.agg(F.count(F.when(~F.col("done"), 1)), F.coalesce(F.sum(F.when(~F.col("done"), F.col("n"))), F.lit(0)), F.sum("kept"), F.max("kept")).first()
+        if scanned is None or scanned > REWRITE and 4 * wide < scanned:
+            # what lies after a group's interval is dropped; the rows of closed groups stay for the result
+            ends = _union([*closed, opened.select("g", "hi", "kept")])
+            rows = written(skew.joined(rows, ends, "g", "kept", total or 0, largest or 0).where("code <= hi").drop("hi", "kept"), "kept")
+            if scanned is None:
+                total, largest = kept, most
+            scanned = wide
+        if not still:
+            break
+        members = skew.joined(rows, opened.drop("n", "done"), "g", "kept", total, largest).where("code between lo and hi")
+        state = written(_edges(members.withColumn("cut", cut)), "edges")
+    out = skew.joined(rows, _union(closed), "g", "kept", total or 0, largest or 0).where("code <= hi")
+    return out.select(F.col("g").alias(group), *(F.col(x).alias(c) for c, x in zip(ids, columns, strict=True)), F.col("s").alias(score))
