@@ -1,21 +1,23 @@
 """Problem 2: mapping free-entered values to a canonical list, by a partition-based pigeonhole join. Built-in SQL only.
 
 A typed text and a reference entry are compared as keys: lower case, look-alike letters of the other alphabet set right, no
-blanks or punctuation. A text also has keys without the filler words at its ends and one as typed under the other keyboard
-layout; an entry also has one in reverse word order and, if Cyrillic, its transliterations. Two keys within k edits share
-one of k + 1 segments of the entry's key, at a position the edits can reach; such candidates are verified with levenshtein.
+blanks or punctuation. A text also has a key as typed under the other keyboard layout; an entry also has one in reverse word
+order and, if Cyrillic, its transliterations. Two keys within k edits share one of k + 1 segments of the entry's key, at a
+position the edits can reach; such candidates are verified with levenshtein.
+
+Words that people add to a value ("old town", "my", "region") are learned from the texts, by no list: a phrase at the end of
+texts that mean no entry as a whole, whose rest is an entry's key, is a filler if it stands beside many different entries.
+Texts then also have keys without fillers at their ends, whose phrases may have edits themselves.
 """
 
 from __future__ import annotations
 
-from itertools import permutations
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.session import written
 
-# fixed values: letters that look alike, keys of the two layouts, transliteration, and filler phrases of typed texts
+# fixed values: letters that look alike, keys of the two layouts, transliteration
 LATIN_LOOKALIKES, CYRILLIC_LOOKALIKES = "aeopcxykmthbi", "аеорсхукмтнві"
 LATIN_KEYS = "`qwertyuiop[]asdfghjkl;'zxcvbnm,."
 CYRILLIC_KEYS = "ёйцукенгшщзхъфывапролджэячсмитьбю"
@@ -23,16 +25,12 @@ TRANSLITERATION = {
     "щ": "sch", "ш": "sh", "ч": "ch", "ж": "zh", "ц": "ts", "ю": "yu", "я": "ya", "ё": "e", "х": "h",
 }
 SINGLE_FROM, SINGLE_TO = "абвгдезийклмнопрстуфыэъь", "abvgdeziyklmnoprstufye"
-TAG_FILLERS = [
-    "my", "мой", "moy", "про", "pro", "the", "stuff", "life", "2015", "и не только", "i ne tolko", "co", "дневник", "dnevnik", "клуб", "klub", "дом",
-]
-CITY_FILLERS = [
-    "г", "g", "город", "gorod", "city", "city of", "living in", "живу в", "zhivu v", "обл", "obl", "область", "oblast", "центр", "tsentr",
-    "downtown", "area", "old town", "северный район", "severnyy rayon", "2nd district",
-]
-#: Edits allowed by the length of an entry's key: below 4 none, then one more at each of these lengths.
-EDITS_FROM = (4, 7, 10, 13)
-MOST_EDITS = len(EDITS_FROM)
+#: Edits allowed by the length of an entry's key: one more for every three letters from the fourth on, at most four.
+MOST_EDITS = 4
+#: A filler stands beside so many different entries at least, and beside one in so many of the most frequent filler's.
+LEAST_ENTRIES, OF_MOST = 3, 20
+#: Words of a filler phrase; phrases that may be cut off at the two ends of a text together.
+PHRASE_WORDS, CUTS = 3, 2
 #: Entries up to which the reference's segments may be broadcast; a longer list is joined by shuffle.
 BROADCAST_ENTRIES = 20_000
 
@@ -53,34 +51,9 @@ def _words(text: Column) -> Column:
     return F.transform(parts, right)
 
 
-def _filler_forms(fillers: list[str]) -> Column:
-    """Filler phrases in either word order with the edits allowed: none below three letters, then one to three.
-
-    Of three and four letters, of which two edits may leave nothing, any order of the letters is known too.
-    """
-    forms = {f: 0 if len(f) < 3 else 1 if len(f) < 5 else 2 if len(f) < 9 else 3 for p in fillers for f in (p, " ".join(reversed(p.split())))}
-    for f in [f for f in forms if 3 <= len(f) <= 4]:
-        for mixed in permutations(f):
-            forms.setdefault("".join(mixed), 0)
-    return F.array(*(F.struct(F.lit(f).alias("phrase"), F.lit(n).alias("most")) for f, n in sorted(forms.items())))
-
-
-def _without_fillers(rows: DataFrame, fillers: list[str]) -> DataFrame:
-    """``text, words``: the word lists as they are, and without a filler phrase of up to three words at either end."""
-    words = F.col("words")
-    cuts = [F.struct(F.lit(None).cast("string").alias("phrase"), words.alias("rest"))]
-    for k in range(1, 4):
-        rest = F.greatest(F.size(words) - k, F.lit(0))
-        ends = (F.slice(words, 1, k), F.slice(words, k + 1, 999)), (F.slice(words, F.greatest(rest + 1, F.lit(1)), k), F.slice(words, F.lit(1), rest))
-        cuts += [F.when(F.size(words) > k, F.struct(F.array_join(end, " ").alias("phrase"), left.alias("rest"))) for end, left in ends]
-    rows = rows.select("text", F.explode(F.array(*cuts)).alias("cut")).where("cut is not null")
-    known = F.exists(_filler_forms(fillers), lambda f: F.levenshtein(F.col("cut.phrase"), f["phrase"]) <= f["most"])
-    return rows.where(F.col("cut.phrase").isNull() | known).select("text", F.col("cut.rest").alias("words")).distinct()
-
-
 def _spread(rows: DataFrame) -> DataFrame:
     """Over all cores: the rows are few bytes, so that they would end up in one task, but much is made of each."""
-    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "text")
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "field", "text")
 
 
 def _key(words: Column) -> Column:
@@ -94,78 +67,135 @@ def _latin(key: Column) -> Column:
     return F.translate(out, SINGLE_FROM, SINGLE_TO)
 
 
-def text_keys(texts: DataFrame, fillers: list[str]) -> DataFrame:
-    """``text, key`` of every distinct text: its keys as typed, without fillers, and under the other keyboard layout."""
-    rows = _spread(texts.select("text").distinct())
+def typed_words(texts: DataFrame) -> DataFrame:
+    """``field, text, words`` of every distinct text, as typed and as typed under the other keyboard layout."""
+    rows = _spread(texts.select("field", "text").distinct())
     raw = F.regexp_replace(F.lower(F.col("text")), r"[\p{Cf}]", "")
     latin, cyrillic = raw.rlike("[a-z]"), raw.rlike("[а-яё]")
     swapped = F.when(latin & ~cyrillic, F.translate(raw, LATIN_KEYS, CYRILLIC_KEYS)).when(cyrillic & ~latin, F.translate(raw, CYRILLIC_KEYS, LATIN_KEYS))
-    rows = rows.select("text", F.explode(F.filter(F.array("text", swapped), lambda t: t.isNotNull())).alias("typed"))
-    rows = rows.select("text", _words(F.col("typed")).alias("words"))
-    rows = _without_fillers(_without_fillers(rows, fillers), fillers)
-    key = _key(F.col("words"))
-    glued = "|".join(sorted((f.replace(" ", "") for f in fillers if len(f) > 2), key=len, reverse=True))
-    # a text written as one word may have its fillers stuck to it
-    ends = F.when(F.size("words") == 1, F.array(key, F.regexp_replace(key, f"^(?:{glued})", ""), F.regexp_replace(key, f"(?:{glued})$", ""))).otherwise(F.array(key))
-    return rows.select("text", F.explode(F.array_distinct(ends)).alias("key")).where("key != ''").distinct()
+    rows = rows.select("field", "text", F.explode(F.filter(F.array("text", swapped), lambda t: t.isNotNull())).alias("typed"))
+    return rows.select("field", "text", _words(F.col("typed")).alias("words")).where(F.size("words") > 0)
 
 
 def entry_keys(reference: DataFrame) -> DataFrame:
-    """``ref_id, key`` of every entry: in both word orders, and transliterated where it is Cyrillic."""
-    rows = reference.select("ref_id", _words(F.col("name")).alias("words")).where(F.size("words") > 0)
-    rows = rows.select("ref_id", F.explode(F.array_distinct(F.array(_key(F.col("words")), _key(F.reverse("words"))))).alias("key"))
-    latin = rows.select("ref_id", _latin(F.col("key")).alias("key"))
+    """``field, ref_id, key`` of every entry: in both word orders, and transliterated where it is Cyrillic."""
+    rows = reference.select("field", "ref_id", _words(F.col("name")).alias("words")).where(F.size("words") > 0)
+    rows = rows.select("field", "ref_id", F.explode(F.array_distinct(F.array(_key(F.col("words")), _key(F.reverse("words"))))).alias("key"))
+    latin = rows.select("field", "ref_id", _latin(F.col("key")).alias("key"))
     return rows.unionByName(latin).distinct()
 
 
 def _edits(length: Column) -> Column:
-    return sum((length >= n).cast("int") for n in EDITS_FROM)
+    return F.least(F.lit(MOST_EDITS), F.greatest(F.lit(0), F.floor((length - 1) / 3).cast("int")))
 
 
-def _segments(keys: DataFrame) -> DataFrame:
-    """``ref_id, key, size, k, i, start, piece``: the k + 1 even segments of every entry's key (start from 1)."""
-    sized = keys.withColumn("size", F.length("key")).withColumn("k", _edits(F.col("size")))
+def _filler_edits(length: Column) -> Column:
+    return F.when(length < 3, 0).when(length < 5, 1).when(length < 9, 2).otherwise(3)
+
+
+def _segments(keys: DataFrame, edits=_edits) -> DataFrame:
+    """``field, ref_id, key, size, k, i, start, piece``: the k + 1 even segments of every entry's key (start from 1)."""
+    sized = keys.withColumn("size", F.length("key")).withColumn("k", edits(F.col("size")))
     cut = sized.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
     begin = lambda i: f"cast(div(({i}) * size, k + 1) as int)"
-    return cut.select("ref_id", "key", "size", "k", "i", F.expr(f"{begin('i')} + 1").alias("start"), F.expr(f"substring(key, {begin('i')} + 1, {begin('i + 1')} - {begin('i')})").alias("piece"))
+    return cut.select("field", "ref_id", "key", "size", "k", "i", F.expr(f"{begin('i')} + 1").alias("start"), F.expr(f"substring(key, {begin('i')} + 1, {begin('i + 1')} - {begin('i')})").alias("piece"))
 
 
-def _candidates(texts: DataFrame, segments: DataFrame, small: bool) -> DataFrame:
+def _near(texts: DataFrame, segments: DataFrame, small: bool) -> DataFrame:
+    """``field, text, ref_id, edits, size``: the entries (of length ``size``) within their edits of a text's ``key``."""
     bound = F.broadcast if small else (lambda x: x)
-    shapes = segments.select("size", "k", "i", "start", F.length("piece").alias("width")).distinct()
-    rows = texts.withColumn("long", F.length("key")).withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("long") - MOST_EDITS), F.col("long") + MOST_EDITS)))
-    rows = rows.join(F.broadcast(shapes), "size").where("abs(long - size) <= k")  # at most a row per length and segment
+    shapes = segments.select("field", "size", "k", "i", "start", F.length("piece").alias("width")).distinct()
+    longest = segments.agg(F.max("size")).first()[0] or 0
+    rows = texts.withColumn("long", F.length("key")).where(F.col("long") <= longest + MOST_EDITS)  # longer ones are near none
+    rows = rows.withColumn("size", F.explode(F.sequence(F.greatest(F.lit(1), F.col("long") - MOST_EDITS), F.col("long") + MOST_EDITS)))
+    rows = rows.join(F.broadcast(shapes), ["field", "size"]).where("abs(long - size) <= k")  # at most a row per length and segment
     # where segment i can start: i edits may lie before it and k - i after it, on either text
     low = "greatest(1, start - i, start + (long - size) - (k - i))"
     high = "least(long - width + 1, start + i, start + (long - size) + (k - i))"
-    rows = rows.where(f"{low} <= {high}").select("text", "key", "size", "i", "width", F.explode(F.expr(f"sequence({low}, {high})")).alias("at"))
-    rows = rows.select("text", "key", "size", "i", F.expr("substring(key, at, width)").alias("piece"))
-    pieces = segments.select("ref_id", F.col("key").alias("entry"), "size", "k", "i", "piece")
-    return rows.join(bound(pieces), ["size", "i", "piece"]).select("text", "key", "ref_id", "entry", "k").distinct()
+    rows = rows.where(f"{low} <= {high}").select("field", "text", "key", "size", "i", "width", F.explode(F.expr(f"sequence({low}, {high})")).alias("at"))
+    rows = rows.select("field", "text", "key", "size", "i", F.expr("substring(key, at, width)").alias("piece"))
+    pieces = segments.select("field", "ref_id", F.col("key").alias("entry"), "size", "k", "i", "piece")
+    met = rows.join(bound(pieces), ["field", "size", "i", "piece"]).select("field", "text", "key", "ref_id", "entry", "size", "k").distinct()
+    return met.withColumn("edits", F.levenshtein("key", "entry", MOST_EDITS)).where("edits between 0 and k").select("field", "text", "ref_id", "edits", "size")
 
 
-def canonical(texts: DataFrame, reference: DataFrame, fillers: list[str]) -> DataFrame:
-    """``text, ref_id, edits`` of every distinct text that means an entry; texts that mean none have no row.
+def _cuts(rows: DataFrame) -> DataFrame:
+    """``field, text, phrase, rest``: the word lists without one to three words at either end, and these words."""
+    words, out = F.col("words"), []
+    for k in range(1, PHRASE_WORDS + 1):
+        rest = F.greatest(F.size(words) - k, F.lit(0))
+        ends = (F.slice(words, F.lit(1), F.lit(k)), F.slice(words, F.lit(k + 1), rest)), (F.slice(words, rest + 1, F.lit(k)), F.slice(words, F.lit(1), rest))
+        out += [F.when(F.size(words) > k, F.struct(F.array_join(end, " ").alias("phrase"), left.alias("rest"))) for end, left in ends]
+    return rows.select("field", "text", F.explode(F.array(*out)).alias("cut")).where("cut is not null").select("field", "text", "cut.phrase", "cut.rest")
+
 
-    The entry with a key of fewest edits from one of the text's keys is meant, of several the one with the longest key,
-    then the smallest id. Null and blank texts mean nothing; entries with a null id or name are left out.
+def learned_fillers(rows: DataFrame, entries: DataFrame, whole: DataFrame) -> DataFrame:
+    """``field, phrase`` of the phrases beside many different entries, in either word order and transliterated too.
+
+    ``rows`` are the word lists of texts that equal no entry; a text that as a whole is near another entry than its rest
+    says nothing about its phrase.
     """
-    texts = texts.select("text").where("text is not null")
-    entries = entry_keys(reference.where("ref_id is not null and name is not null"))
-    small = reference.limit(BROADCAST_ENTRIES + 1).count() <= BROADCAST_ENTRIES
-    keys = written(text_keys(texts, fillers), "keys")
-    bound = F.broadcast if small else (lambda x: x)
-    same = keys.join(bound(entries), "key").select("text", "ref_id", F.lit(0).alias("edits"), F.length("key").alias("size"))
-    rest = keys.join(same.select("text").distinct(), "text", "left_anti")
-    near = _candidates(_spread(rest), _segments(entries), small).withColumn("edits", F.levenshtein("key", "entry"))
-    near = near.where("edits <= k").select("text", "ref_id", "edits", F.length("entry").alias("size"))
-    best = Window.partitionBy("text").orderBy("edits", F.desc("size"), "ref_id")
-    return same.unionByName(near).withColumn("rank", F.row_number().over(best)).where("rank = 1").select("text", "ref_id", "edits")
-
-
-def mapped(rows: DataFrame, reference: DataFrame, fillers: list[str]) -> DataFrame:
-    """``src_id, ref_id`` for rows of ``src_id, text``: the entry meant, or 0 where the list has none (by anti-join)."""
-    found = written(canonical(rows, reference, fillers).select("text", "ref_id"), "meant")
-    named = rows.join(found, "text").select("src_id", "ref_id")
-    unmatched = rows.join(found, "text", "left_anti").select("src_id", F.lit(0).cast("long").alias("ref_id"))
+    beside = _cuts(rows).withColumn("key", _key(F.col("rest"))).join(entries, ["field", "key"])
+    other = whole.select("field", "text", F.col("ref_id").alias("meant")).distinct()
+    beside = beside.join(other, ["field", "text"], "left").where("meant is null or meant = ref_id")
+    counts = beside.groupBy("field", "phrase").agg(F.count_distinct("ref_id").alias("n"))
+    most = counts.groupBy("field").agg(F.max("n").alias("most"))
+    kept = counts.join(most, "field").where(f"n >= {LEAST_ENTRIES} and n * {OF_MOST} >= most").select("field", "phrase")
+    turned = F.array_join(F.reverse(F.split("phrase", " ")), " ")
+    kept = kept.select("field", F.explode(F.array("phrase", turned)).alias("phrase"))
+    return kept.select("field", F.explode(F.array("phrase", _latin(F.col("phrase")))).alias("phrase")).distinct()
+
+
+def _known(phrases: DataFrame, fillers: DataFrame) -> DataFrame:
+    """``field, phrase``: those within the edits of a filler, or with the letters of one of three or four in any order."""
+    keys = fillers.select("field", F.lit(0).cast("long").alias("ref_id"), F.col("phrase").alias("key"))
+    near = _near(phrases.select("field", F.col("phrase").alias("text"), F.col("phrase").alias("key")), _segments(keys, _filler_edits), False)
+    letters = F.array_join(F.array_sort(F.split("phrase", "")), "").alias("letters")
+    short = lambda x: x.where(F.length("phrase").between(3, 4)).select("field", "phrase", letters)
+    mixed = short(phrases).join(short(fillers).select("field", "letters"), ["field", "letters"], "left_semi")
+    return near.select("field", F.col("text").alias("phrase")).unionByName(mixed.select("field", "phrase")).distinct()
+
+
+def _unglued(rows: DataFrame, fillers: DataFrame) -> DataFrame:
+    """``field, text, key``: texts written as one word without a filler of three letters or more stuck to an end."""
+    glued = fillers.select("field", F.replace("phrase", F.lit(" "), F.lit("")).alias("phrase")).where("length(phrase) > 2").distinct()
+    longest = glued.agg(F.max(F.length("phrase"))).first()[0] or 0
+    one = rows.where("size(words) = 1").select("field", "text", F.get("words", F.lit(0)).alias("w")).withColumn("long", F.length("w")).where(f"long > 3 and {longest} > 2")
+    cut = one.withColumn("n", F.explode(F.sequence(F.lit(3), F.greatest(F.lit(3), F.least(F.col("long") - 1, F.lit(longest))))))
+    ends = F.array(F.expr("struct(substring(w, 1, n) as phrase, substring(w, n + 1, long - n) as key)"), F.expr("struct(substring(w, long - n + 1, n) as phrase, substring(w, 1, long - n) as key)"))
+    ends = cut.select("field", "text", F.explode(ends).alias("x")).select("field", "text", "x.phrase", "x.key")
+    return ends.join(glued, ["field", "phrase"], "left_semi").select("field", "text", "key")
+
+
+def canonical(texts: DataFrame, reference: DataFrame) -> DataFrame:
+    """``field, text, ref_id, edits`` of every distinct text that means an entry of its field; others have no row.
+
+    ``texts`` has ``field, text``, ``reference`` has ``field, ref_id, name``. The entry with a key of fewest edits from one
+    of the text's keys is meant, of several the one with the longest key, then the smallest id. Null and blank texts mean
+    nothing; entries with a null id or name are left out.
+    """
+    entries = written(entry_keys(reference.where("ref_id is not null and name is not null")), "entries")
+    small = entries.limit(4 * BROADCAST_ENTRIES + 1).count() <= 4 * BROADCAST_ENTRIES
+    segments = _segments(entries)
+    rows = written(typed_words(texts.where("text is not null")), "words")
+    whole = written(_near(rows.select("field", "text", _key(F.col("words")).alias("key")), segments, small), "whole")
+    # a text equal to an entry has its answer; of the others, the keys without one phrase and without two
+    open_rows = rows.join(whole.where("edits = 0").select("field", "text").distinct(), ["field", "text"], "left_anti")
+    fillers = written(learned_fillers(open_rows, entries, whole), "fillers")
+    keys = _unglued(open_rows, fillers)
+    for _ in range(CUTS):
+        cuts = written(_cuts(open_rows), "cuts")
+        known = written(_known(cuts.select("field", "phrase").distinct(), fillers), "known")
+        open_rows = cuts.join(known, ["field", "phrase"], "left_semi").select("field", "text", F.col("rest").alias("words")).distinct()
+        keys = keys.unionByName(open_rows.select("field", "text", _key(F.col("words")).alias("key")))
+    near = whole.unionByName(_near(_spread(keys.distinct()), segments, small))
+    best = Window.partitionBy("field", "text").orderBy("edits", F.desc("size"), "ref_id")  # the entries near one text
+    return near.withColumn("rank", F.row_number().over(best)).where("rank = 1").select("field", "text", "ref_id", "edits")
+
+
+def mapped(rows: DataFrame, reference: DataFrame) -> DataFrame:
+    """``field, src_id, ref_id`` for rows of ``field, src_id, text``: the entry meant, or 0 where the list has none (by anti-join)."""
+    found = written(canonical(rows, reference).select("field", "text", "ref_id"), "meant")
+    named = rows.join(found, ["field", "text"]).select("field", "src_id", "ref_id")
+    unmatched = rows.join(found, ["field", "text"], "left_anti").select("field", "src_id", F.lit(0).cast("long").alias("ref_id"))
     return named.unionByName(unmatched).distinct()

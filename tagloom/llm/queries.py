@@ -24,11 +24,9 @@ def p2_found(spark, sf_dir):
     cities = cities.where(F.col("src_id").isNotNull() & F.col("text").rlike(r"[^\s\u00a0]"))
     tag_list = table(spark, sf_dir, "mastertag").select(F.col("id").alias("ref_id"), F.col("text").alias("name"))
     city_list = table(spark, sf_dir, "cityref").select(F.col("city_id").alias("ref_id"), "name")
-    parts = [
-        canonical.mapped(rows, names, fillers).select(F.lit(field).alias("field"), "src_id", "ref_id")
-        for field, rows, names, fillers in (("tag", tags, tag_list, canonical.TAG_FILLERS), ("city_cstm", cities, city_list, canonical.CITY_FILLERS))
-    ]
-    return parts[0].unionByName(parts[1])
+    named = lambda field, rows: rows.select(F.lit(field).alias("field"), "*")
+    rows = named("tag", tags).unionByName(named("city_cstm", cities))
+    return canonical.mapped(rows, named("tag", tag_list).unionByName(named("city_cstm", city_list)))
 
 
 @query
