@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings every query of this library relies on.
 DEFAULTS = {
@@ -35,10 +36,12 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "tagloom
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``; one of our own only where that is unset and all run on this machine."""
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tagloom-"))
         named = context.getCheckpointDir()
     return named
@@ -66,6 +69,9 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 def scan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the bytes of ``df``; sizes the number of buckets, never the result."""
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return min(int(str(size)), 1 << 60)
+    """Catalyst's estimate of the bytes of ``df``, or the bytes of its texts where it has none; sizes the number of buckets, never the result."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if size < 1 << 56:
+        return size
+    texts = [F.sum(F.octet_length(f.name)) for f in df.schema if f.dataType.typeName() == "string"]
+    return sum(x or 0 for x in df.agg(*texts).first()) if texts else df.count()
