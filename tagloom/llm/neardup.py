@@ -1,7 +1,8 @@
 """Problem 6: near-duplicate records with small edits, by an exact set-similarity join that uses set relations.
 
-1. Each record is the set of its word sequences. One pass counts the sequences in a sketch of fixed size (it only orders
-   them, so its collisions cost time, never results) and gives each record a min-hash.
+1. Each record is the set of its word sequences. One pass counts the sequences in a sketch of two hashed rows (it only orders
+   them, so its collisions cost time, never results) and gives each record a min-hash. What a counter holds by collisions,
+   its row's median, is taken off, so that a rare sequence stays rare however many sequences there are.
 2. Records that differ by a few sequences from the leader of their min-hash form its family. Only leaders are indexed.
 3. A leader's rarest sequences go to the lists of the index, each with the overlap its position leaves. A list is sorted by
    that, so the part that a record's size and position rule out is skipped whole; what is left must pass a bound on the
@@ -23,13 +24,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.llm import hashing as H
-from tagloom.llm.spans import BLOCK_BYTES, one_row_per_id
+from tagloom.llm import skew
+from tagloom.llm.components import components
+from tagloom.llm.spans import BLOCK_BYTES, bucket_count, one_row_per_id
 from tagloom.session import scan_bytes, written
 
 #: A member may lack this many of its leader's sequences and add this many, or a tenth of its size if that is less.
 FEW = 3
-#: Counters of the sketch, as a power of two, and the rows it travels in: the broadcast has 2**21 bytes at any input size.
-SKETCH_BITS, SKETCH_ROWS = 21, 16
+#: Counters of both rows of the sketch, as a power of two, least and most: the broadcast has 2**23 bytes at any input size.
+#: It travels in so many parts.
+LEAST_BITS, MOST_BITS, SKETCH_PARTS = 18, 23, 16
 #: Expected entries of one chunk of a list, members of one chunk of a family, pairs looked at together.
 LIST_CHUNK, FAMILY_CHUNK, PAIRS = 8192, 128, 400_000
 #: Bits of the bitmaps: a set of more than a third as many sequences as bits has the next longer one.
@@ -58,16 +62,39 @@ def _block_sets(part: pa.RecordBatch, length: int, least_words: int):
     return rows, doc[keep], h[keep]
 
 
-def _marks(length: int, least_words: int):
+def sketch_bits(size: int) -> int:
+    """A counter for every 16 kB of input, within the bounds."""
+    return min(MOST_BITS, max(LEAST_BITS, (max(1, size) - 1).bit_length() - 14))
+
+
+def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each sequence's counter in the first and in the second row."""
+    shift, half = np.uint64(65 - bits), np.int64(1 << (bits - 1))
+    return (h >> shift).astype(np.int64), half + (H.mixed(h, 91) >> shift).astype(np.int64)
+
+
+def _levels_of(h: np.ndarray, levels: np.ndarray, bits: int) -> np.ndarray:
+    first, second = _places(h, bits)
+    return np.minimum(levels[first], levels[second])
+
+
+def _counted(total: np.ndarray) -> np.ndarray:
+    """Levels of a part of one row of counters, beyond its median: eight steps to a power of two."""
+    own = np.maximum(total - int(np.median(total)), 0)
+    return np.minimum(255, np.floor(np.log2(1 + own) * 8)).astype(np.uint8)
+
+
+def _marks(length: int, least_words: int, bits: int):
     """Per record its size and min-hash; per task the sketch of its sequences, in rows of ``key`` and ``data``."""
 
     def run(batches):
-        counters = np.zeros(1 << SKETCH_BITS, np.int64)
+        counters = np.zeros(1 << bits, np.int64)
         for part in H.blocks(batches, "text", BLOCK_BYTES):
             rows, doc, h = _block_sets(part, length, least_words)
             if not len(rows):
                 continue
-            counters += np.bincount((h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS)
+            for places in _places(h, bits):
+                counters += np.bincount(places, minlength=1 << bits)
             sizes = np.bincount(doc, minlength=len(rows))
             ends = np.cumsum(sizes) - sizes
             least = [np.minimum.reduceat(H.mixed(h, seed), ends) for seed in (11, 23, 37, 51)]
@@ -77,24 +104,31 @@ def _marks(length: int, least_words: int):
                 [*none, part.column("doc_id").take(pa.array(rows)), pa.array(sizes, pa.int32()), pa.array(family.view(np.int64))],
                 names=["key", "data", "post", "size", "family"],
             )
-        cut = len(counters) // SKETCH_ROWS
-        data = [H.packed(np.minimum(counters[k * cut : (k + 1) * cut], 2**32 - 1)) for k in range(SKETCH_ROWS)]
-        nulls = [pa.nulls(SKETCH_ROWS, t) for t in (pa.int64(), pa.int32(), pa.int64())]
+        cut = len(counters) // SKETCH_PARTS
+        data = [H.packed(np.minimum(counters[k * cut : (k + 1) * cut], 2**32 - 1)) for k in range(SKETCH_PARTS)]
+        nulls = [pa.nulls(SKETCH_PARTS, t) for t in (pa.int64(), pa.int32(), pa.int64())]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(range(SKETCH_ROWS), pa.int32()), pa.array(data, pa.binary()), *nulls], names=["key", "data", "post", "size", "family"]
+            [pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(data, pa.binary()), *nulls], names=["key", "data", "post", "size", "family"]
         )
 
     return run
 
 
-def _levels(batches):
-    """One row of the sketch from those of all tasks, as bytes: eight steps to a power of two."""
-    total, key = np.zeros((1 << SKETCH_BITS) // SKETCH_ROWS, np.int64), None
-    for batch in batches:
-        for key, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            total += H.unpacked(data, len(total))
-    levels = np.minimum(255, np.floor(np.log2(1 + total) * 8)).astype(np.uint8)
-    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([levels.tobytes()], pa.binary())], names=["key", "data"])
+def _levels(bits: int):
+    def run(batches):
+        """One part of the sketch from those of all tasks, as bytes."""
+        total, key = np.zeros((1 << bits) // SKETCH_PARTS, np.int64), None
+        for batch in batches:
+            for key, data in zip(batch.column("key").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                total += H.unpacked(data, len(total))
+        yield pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([_counted(total).tobytes()], pa.binary())], names=["key", "data"])
+
+    return run
+
+
+def _chunks(level: np.ndarray) -> np.ndarray:
+    """Into how many chunks the list of a sequence of this level is cut."""
+    return np.maximum(1, np.ceil(2.0 ** (level.astype(np.float64) / 8) / LIST_CHUNK)).astype(np.int64)
 
 
 def _sets(length: int, least_words: int):
@@ -120,7 +154,7 @@ def _bitmap_kind(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted([bits // 3 for bits in BITMAPS[:-1]], sizes, "left")
 
 
-def _index(length: int, least_words: int, groups: int, levels):
+def _index(length: int, least_words: int, groups: int, levels, bits: int):
     def run(batches):
         level_of = np.frombuffer(levels.value, np.uint8)
         for part in H.blocks(batches, "text", BLOCK_BYTES):
@@ -135,13 +169,13 @@ def _index(length: int, least_words: int, groups: int, levels):
             least = np.where(least == -(2**30), (sizes + 1) // 2 - np.minimum(FEW, sizes // 5), least)
             kind = _bitmap_kind(sizes)
             bitmaps = [_bitmap(doc, h, len(rows), bits) if (kind == k).any() else None for k, bits in enumerate(BITMAPS)]
-            level = level_of[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+            level = _levels_of(h, level_of, bits)
             order = np.lexsort((h, level, doc))
             h, level, doc = h[order], level[order], doc[order]
             place = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             some = np.flatnonzero(place < (sizes - least + 1)[doc])
             h, level, doc, tail = h[some], level[some], doc[some], (sizes[doc] - place)[some]
-            chunks = np.maximum(1, np.ceil(2.0 ** ((level.astype(np.float64) + 1) / 8) / LIST_CHUNK)).astype(np.int64)
+            chunks = _chunks(level)
             own = (H.mixed(ids.view(np.uint64), 3) >> np.uint64(20)).astype(np.int64)[doc] % chunks
             if chunks.max() > 1:  # a long list: every pair of its chunks is a list of its own
                 times = np.repeat(np.arange(len(h)), chunks)
@@ -298,10 +332,11 @@ def similar_pairs(
     text = lambda df, *more: df.select("doc_id", normal_text(*parts).alias("text"), *more)
     sets = lambda df: text(df).mapInArrow(_sets(length, least_words), "post long, tokens array<long>")
 
-    first = written(text(docs).mapInArrow(_marks(length, least_words), "key int, data binary, post long, size int, family long"), "marks")
-    rows = first.where("key is not null").select("key", "data").groupBy("key").applyInArrow(_table(_levels, [("key", pa.int32()), ("data", pa.binary())]), "key int, data binary")
+    bits = sketch_bits(scan_bytes(docs))
+    first = written(text(docs).mapInArrow(_marks(length, least_words, bits), "key int, data binary, post long, size int, family long"), "marks")
+    rows = first.where("key is not null").select("key", "data").groupBy("key").applyInArrow(_table(_levels(bits), [("key", pa.int32()), ("data", pa.binary())]), "key int, data binary")
     context = records.sparkSession.sparkContext
-    levels = b"".join(bytes(r.data) for r in sorted(rows.collect(), key=lambda r: r.key)) or bytes(1 << SKETCH_BITS)  # 2**21 bytes
+    levels = b"".join(bytes(r.data) for r in sorted(rows.collect(), key=lambda r: r.key)) or bytes(1 << bits)  # at most 2**23 bytes
     levels = context.broadcast(levels)
     families = written(_families(docs, first.where("post is not null").select("post", "size", "family"), sets), "families")
     bounds = families.groupBy("leader").agg(
@@ -312,14 +347,42 @@ def similar_pairs(
     roles = families.where("post != leader").select("post", F.lit(True).alias("member"), F.lit(None).cast("int").alias("need"), F.lit(None).cast("int").alias("least_overlap"))
     roles = roles.unionByName(bounds.select(F.col("leader").alias("post"), F.lit(False).alias("member"), "need", "least_overlap"))
     leaders = docs.join(roles.withColumnRenamed("post", "doc_id"), "doc_id", "left").where("member is null or not member")
-    groups = int(min(max(6, scan_bytes(docs) // (10 << 20)), 1 << 22))
-    found = text(leaders, "need", "least_overlap").mapInArrow(_index(length, least_words, groups, levels), "key int, data binary")
+    groups = bucket_count(docs, 10 << 20, 6)
+    found = text(leaders, "need", "least_overlap").mapInArrow(_index(length, least_words, groups, levels, bits), "key int, data binary")
     own = bounds.select(F.col("leader").alias("leader_a"), F.col("leader").alias("leader_b"))
-    candidates = found.groupBy("key").applyInArrow(_table(_pairs, [("leader_a", pa.int64()), ("leader_b", pa.int64())]), "leader_a long, leader_b long").distinct()
+    candidates = found.repartition(max(1, groups), "key").groupBy("key").applyInArrow(_table(_pairs, [("leader_a", pa.int64()), ("leader_b", pa.int64())]), "leader_a long, leader_b long").distinct()
     candidates = written(candidates.unionByName(own), "candidates")
     return _verified(candidates, docs, families, bounds, sets)
 
 
+def similar_groups(
+    records: DataFrame, id_column: str = "id", columns: tuple[str, ...] = ("title", "text"), length: int = 3, least_words: int = 12
+) -> DataFrame:
+    """``post, representative, links, group_id`` of every record with an id: its group by chains of alike records.
+
+    ``representative`` is the smallest id with the same words in the same order, so copies are never paired with each
+    other; ``links`` counts the different texts alike to it, and no link between different texts is left out. ``group_id``
+    is the smallest id of the group. Records of fewer than ``least_words`` words stand alone; words, nulls and repeated ids
+    are those of ``similar_pairs``.
+    """
+    parts = [f"part{k}" for k in range(len(columns))]
+    docs = records.select(F.col(id_column).cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(p) for c, p in zip(columns, parts, strict=True)))
+    docs = one_row_per_id(docs, F.concat_ws(" ", *(F.coalesce(F.col(p), F.lit("")) for p in parts)))
+    words = F.trim(normal_text(*parts))
+    many = F.length(F.regexp_replace(words, "[^ ]", "")) >= least_words - 1
+    prints = written(docs.select("doc_id", F.when(many, F.sha2(words, 256)).otherwise(F.concat(F.lit("#"), "doc_id")).alias("print")), "prints")
+    classes = written(prints.groupBy("print").agg(F.min("doc_id").alias("representative"), F.count("*").alias("copies")), "classes")
+    total, largest = classes.agg(F.sum("copies"), F.max("copies")).first()
+    members = skew.joined(prints, classes, "print", "copies", total or 0, largest or 0).select("doc_id", "representative")
+    first = docs.join(classes.select(F.col("representative").alias("doc_id")), "doc_id", "left_semi")
+    pairs = written(similar_pairs(first, "doc_id", tuple(parts), length, least_words), "pairs")
+    links = pairs.select(F.explode(F.array("post_a", "post_b")).alias("representative")).groupBy("representative").agg(F.count("*").alias("links"))
+    roots = components(pairs, "post_a", "post_b").select(F.col("node").alias("representative"), F.col("root").alias("group_id"))
+    known = links.join(roots, "representative")
+    rows = members.join(known, "representative", "left")
+    return rows.select(F.col("doc_id").alias("post"), "representative", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("group_id", "representative").alias("group_id"))
+
+
 def _verified(candidates: DataFrame, docs: DataFrame, families: DataFrame, bounds: DataFrame, sets) -> DataFrame:
     ids = candidates.select(F.explode(F.array("leader_a", "leader_b")).alias("doc_id")).distinct()
     held = sets(docs.join(ids, "doc_id", "left_semi")).withColumnRenamed("post", "leader").join(bounds, "leader", "left")

@@ -127,6 +127,12 @@ def p6_found(spark, sf_dir):
     return neardup.similar_pairs(table(spark, sf_dir, "post"))
 
 
+@query
+def p6_groups(spark, sf_dir):
+    """The group of alike posts each post belongs to, copies by their representative."""
+    return neardup.similar_groups(table(spark, sf_dir, "post"))
+
+
 @query
 def p7_containers(spark, sf_dir):
     """The texts of documents in containers of 2,048 tokens: what each holds and its fill."""

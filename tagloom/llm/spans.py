@@ -25,11 +25,18 @@ ARROW = pa.schema([("key", pa.int32()), ("block", pa.int64()), ("kind", pa.int32
 ENTRIES, INDEX, REPLY = 0, 1, 2
 #: Bytes of text handled at once; bounds a Python worker's memory.
 BLOCK_BYTES = 4 << 20
+#: Hash ranges of one task, and at most in all: what a 32-bit key can name, enough for 4,000 TB.
+RANGES_PER_TASK, MOST_BUCKETS = 4, (1 << 31) - 1
 
 
 def bucket_count(df: DataFrame, bytes_each: int = 2 << 20, least: int = 48) -> int:
     """Hash ranges: in proportion to the input, so that a range stays of a bounded size."""
-    return int(min(max(least, scan_bytes(df) // bytes_each), 1 << 22))
+    return int(min(max(least, scan_bytes(df) // bytes_each), MOST_BUCKETS))
+
+
+def by_range(rows: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Spread over tasks of a few hash ranges each, however many partitions the session shuffles into."""
+    return rows.repartition(max(1, -(-buckets // RANGES_PER_TASK)), column)
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -203,8 +210,8 @@ def _spans_and_ends(documents: DataFrame, length: int, id_column: str, text_colu
     docs = one_row_per_id(documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")))
     buckets = bucket_count(docs)
     entries = docs.mapInArrow(_windows_of(length, buckets), ROWS)
-    replies = entries.groupBy("key").applyInArrow(_count, ROWS)
-    return replies.groupBy("block").applyInArrow(_merge(length), "doc_id long, first_word long, last_word long")
+    replies = by_range(entries, "key", buckets).groupBy("key").applyInArrow(_count, ROWS)
+    return by_range(replies, "block", buckets).groupBy("block").applyInArrow(_merge(length), "doc_id long, first_word long, last_word long")
 
 
 def shared_spans(documents: DataFrame, length: int = 40, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

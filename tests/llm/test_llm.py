@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tagloom.llm import canonical, cooccur, frequency, mixing, neardup, packing, spans, tokens, topn
+from tagloom.llm import canonical, components, cooccur, frequency, mixing, neardup, packing, spans, tokens, topn
 
 CLASH = {"key": 1, "block": 2, "g": 3, "s": 4, "n": 5, "item": 6, "tokens": 7, "leader": 8}
 
@@ -125,6 +125,53 @@ def test_near_duplicates_of_a_hot_text(spark, monkeypatch):
     assert neardup.similar_pairs(df.limit(0)).count() == 0
 
 
+def test_near_duplicate_groups(spark):
+    rng = random.Random(8)
+    rows, k = [], 0
+    for _ in range(12):
+        base = [f"w{rng.randrange(60)}" for _ in range(30)]
+        for times in (0, 0, 0, 1, 3, 5, 9):
+            rows.append((k, None, " ".join(edited(rng, base, times))))
+            k += 1
+    rows += [(1000, "a b", "c"), (1001, "a b", "c"), (1002, None, None), (None, "x", "y " * 20)]
+    pairs = brute_pairs([r for r in rows if r[0] is not None])
+    root = {r[0]: r[0] for r in rows if r[0] is not None}
+    for _ in root:
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r.post: r for r in neardup.similar_groups(clashing(spark.createDataFrame(rows, "id long, title string, text string"))).collect()}
+    assert {k: r.group_id for k, r in got.items()} == root
+    texts = {k: t for k, _, t in rows}
+    for k, r in got.items():
+        assert r.links == len({texts[b if a == k else a] for a, b in pairs if k in (a, b)} - {texts[k]})
+    assert neardup.similar_groups(spark.createDataFrame([], "id long, title string, text string")).count() == 0
+
+
+def test_components(spark):
+    chain = [(k, k + 1) for k in range(60)] + [(100, 101), (102, 101), (7, 7), (None, 3), (100, 101)]
+    got = dict(components.components(spark.createDataFrame(chain, "x long, y long"), "x", "y").collect())
+    assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_rare_sequences_are_never_copied_however_many_there_are():
+    """A small sketch under 1,000 times more sequences than it has counters: a hot one is cut, a rare one isn't."""
+    import numpy as np
+
+    bits = 12
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 1000 << bits, dtype=np.int64).view(np.uint64)
+    hot = np.full(200_000, h[0])
+    total = np.zeros(1 << bits, np.int64)
+    for part in (h, hot):
+        for places in neardup._places(part, bits):
+            total += np.bincount(places, minlength=1 << bits)
+    cut = len(total) // neardup.SKETCH_PARTS
+    levels = np.concatenate([neardup._counted(total[k * cut : (k + 1) * cut]) for k in range(neardup.SKETCH_PARTS)])
+    chunks = neardup._chunks(neardup._levels_of(h, levels, bits))
+    assert chunks[0] >= 200_000 / neardup.LIST_CHUNK / 1.2
+    assert (chunks[1:] > 1).mean() < 1e-5
+
+
 # ---- top N
 
 
