@@ -149,3 +149,14 @@ def packing_report(containers: DataFrame, capacity: int = 2048) -> DataFrame:
             "least_containers": F.ceil(F.col("tokens") / capacity),
         }
     )
+
+
+def binding_limits(containers: DataFrame, capacity: int, most_items: int, most_cost: float) -> DataFrame:
+    """``capacity, containers, full``: of each of the three capacities, in how many containers it is the one used most, and used to 0.95 at least.
+
+    A container whose one item alone exceeds the cost has used it whole.
+    """
+    used = containers.groupBy("container").agg(F.sum("tokens").alias("t"), F.count("*").alias("n"), F.sum(F.col("tokens").cast("double") * F.col("tokens")).alias("c"))
+    shares = [F.least(F.lit(1.0), F.col(x) / F.lit(float(most))) for x, most in (("t", capacity), ("n", most_items), ("c", most_cost))]
+    rows = used.select(F.greatest(*shares).alias("top"), F.explode(F.array(*(F.struct(F.lit(name).alias("capacity"), s.alias("share")) for name, s in zip(("tokens", "items", "cost"), shares, strict=True)))).alias("x"))
+    return rows.groupBy("x.capacity").agg(F.count(F.when(F.col("x.share") == F.col("top"), 1)).alias("containers"), F.count(F.when(F.col("x.share") >= 0.95, 1)).alias("full"))

@@ -145,6 +145,22 @@ def p7_report(spark, sf_dir):
     return packing.packing_report(packing.packed_containers(table(spark, sf_dir, "documents"), capacity=2048), 2048)
 
 
+#: Capacities of which each binds somewhere: tokens, documents, and the attention cost of three documents of 700 tokens.
+LIMITS = {"capacity": 2048, "most_items": 12, "most_cost": 3 * 700.0**2}
+
+
+@query
+def p7_limited(spark, sf_dir):
+    """Containers in which the number of texts and the attention cost bind beside the tokens."""
+    return packing.packed_containers(table(spark, sf_dir, "documents"), **LIMITS)
+
+
+@query
+def p7_limits(spark, sf_dir):
+    """Which capacity binds in how many of those containers."""
+    return packing.binding_limits(p7_limited(spark, sf_dir), **LIMITS)
+
+
 @query
 def p8_mixture(spark, sf_dir):
     """The texts used for each source, and how often."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import base64
 import re
 from collections import Counter
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,18 +25,19 @@ _PIECE = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 REMEMBERED = 400_000
 
 
-def encoding(vocabulary: str):
+def encoding(vocabulary: str | bytes):
+    """The tokenizer of a vocabulary file, given by its path or its content."""
     import tiktoken
 
-    with open(vocabulary, "rb") as file:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
+    data = vocabulary if isinstance(vocabulary, bytes) else Path(vocabulary).read_bytes()
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
     return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 class TokenCounter:
     """Counts the tokens of texts; null counts 0."""
 
-    def __init__(self, vocabulary: str = VOCABULARY):
+    def __init__(self, vocabulary: str | bytes = VOCABULARY):
         self.encode = encoding(vocabulary).encode_ordinary
         self.known: dict[str, int] = {}
 
@@ -58,11 +60,15 @@ class TokenCounter:
 
 
 def token_sizes(df: DataFrame, keep: list[str], text: str, vocabulary: str = VOCABULARY) -> DataFrame:
-    """The columns ``keep`` and ``tokens``, the number of tokens of ``text`` (0 for null)."""
+    """The columns ``keep`` and ``tokens``, the number of tokens of ``text`` (0 for null).
+
+    The driver reads the vocabulary file, a few MB at most, and sends it along; the workers need no such file.
+    """
+    data = df.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema) + ", tokens long"
 
     def run(batches):
-        counter = TokenCounter(vocabulary)
+        counter = TokenCounter(data.value)
         for batch in batches:
             sizes = [counter.count(x) for x in batch.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(sizes, pa.int64())], names=[*keep, "tokens"])

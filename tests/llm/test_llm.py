@@ -345,6 +345,19 @@ def test_containers(spark, rule):
     assert packing.packed_containers(df.limit(0)).count() == 0
 
 
+def test_every_capacity_binds(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(["tea"] * rng.choice([1, 2, 3, 20, 33, 40, 61]))) for k in range(300)]
+    limits = {"capacity": 64, "most_items": 8, "most_cost": 2000}
+    got = packing.packed_containers(spark.createDataFrame(rows, "doc_id long, text string"), **limits)
+    boxes = defaultdict(list)
+    for r in got.collect():
+        boxes[r.container].append(r.tokens)
+    assert all(sum(b) <= 64 and len(b) <= 8 and (len(b) == 1 or sum(x * x for x in b) <= 2000) for b in boxes.values())
+    bound = {r.capacity: (r.containers, r.full) for r in packing.binding_limits(got, **limits).collect()}
+    assert all(containers > 0 and full > 0 for containers, full in bound.values()) and len(bound) == 3
+
+
 def test_network_is_optimal():
     sizes = {("a",): 100, ("a", "b"): 50, ("b",): 10}
     total, flow = mixing.routed(sizes, {"a": 100, "b": 60}, {"a": 1, "b": 2})
@@ -365,3 +378,36 @@ def test_mixture(spark):
     assert report["a"].most_uses == 1 and report["b"].most_uses <= 3
     assert sorted(mix.collect()) == sorted(mixing.mixture(docs.repartition(5), targets).collect())
     assert mixing.mixture(docs.limit(0), targets).count() == 0
+
+
+def test_nearest_subset():
+    rng = random.Random(1)
+    for _ in range(200):
+        items = [rng.choice([-1, 1]) * rng.randrange(1, 40) for _ in range(rng.randrange(1, 9))]
+        want = rng.randrange(-60, 60)
+        chosen = mixing.nearest_subset(items, want)
+        best = min(abs(want - sum(s)) for n in range(len(items) + 1) for s in combinations(items, n))
+        assert abs(want - sum(items[k] for k in chosen)) == best
+
+
+def test_mixture_of_long_tailed_texts(spark):
+    """Texts of up to a third of a source's tokens: every source comes within one in a thousand of its scaled share."""
+    rng = random.Random(3)
+    rows, k = [], 0
+    for source in "abcd":
+        for size in [2000, 1500, 700] + [int(min(400, rng.paretovariate(0.8))) for _ in range(150)]:
+            rows.append((k, f"{source}{k} " + "tea " * size, source))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.3, 2), ("c", 0.2, 1), ("d", 0.1, 3)], "source string, target_share double, max_repeat int")
+    mix = mixing.mixture(docs, targets)
+    for r in mixing.mixture_shares(mix, targets).collect():
+        assert abs(r.actual_share - r.target_share) <= 0.001 * r.target_share and r.most_uses <= r.max_repeat
+
+
+def test_mixture_of_many_patterns(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    rows = [(k, f"tea cup {k // 3}", "abc"[(k + k // 9) % 3]) for k in range(90)]
+    targets = spark.createDataFrame([(s, 1 / 3, 2) for s in "abc"], "source string, target_share double, max_repeat int")
+    mix = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), targets)
+    assert {r.source for r in mix.collect()} == set("abc")
