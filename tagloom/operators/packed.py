@@ -30,23 +30,23 @@ BRACKETED = r"\((?:[^()]|\([^()]*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]
 TRIMMED = r"^[\s\u00a0]+|[\s\u00a0]+$"
 #: Comma, semicolon, bar, bullet, tab and line ends; a slash only between white space.
 LIST_SEPARATORS = r"[,;|•\t\n\r]|(?<=\s)/(?=\s)"
-#: Whatever is not a digit, quotes and brackets included: for lists of numbers.
-NUMBER_SEPARATORS = "[^0-9]+"
+#: Whatever is no digit and no part of a placeholder: for lists of numbers.
+NUMBER_SEPARATORS = f"[^0-9{MARK}{END}]+"
+#: A text without any of these has no span.
+_OPENING = "[\"'«“„‘(\\[{]"
 
 
-def split_values(column: Column, separators: str = LIST_SEPARATORS, protected: str | None = f"{QUOTED}|{BRACKETED}") -> Column:
+def split_values(column: Column, separators: str = LIST_SEPARATORS, protected: str = f"{QUOTED}|{BRACKETED}", opened: bool = False) -> Column:
     """The values of a packed text as an array, in order; null and blank texts give an empty array.
 
     White space around a value is dropped, then a pair of quotes around the whole of it, a doubled quote within becoming
-    one. Values left empty are dropped. A quote or bracket without its partner is an ordinary character. With ``protected``
-    None no span is protected and values are not unquoted.
+    one. Values left empty are dropped. A quote or bracket without its partner is an ordinary character. With ``opened`` a
+    span holds values of its own (numbers written as ``"1,2"; {3, 4}``): each restored value is split in turn.
     """
-    text = F.coalesce(column.cast("string"), F.lit(""))
-    if protected is None:
-        return F.filter(F.split(text, separators), lambda v: F.trim(v) != "")
-    text = F.replace(text, F.lit(MARK), F.lit(MARK + ESCAPE))
-    spans = F.regexp_extract_all(text, F.lit(f"(?:{protected})"), F.lit(0))
-    between = F.split(text, f"(?:{protected})", -1)
+    text = F.replace(F.coalesce(column.cast("string"), F.lit("")), F.lit(MARK), F.lit(MARK + ESCAPE))
+    some = text.rlike(_OPENING)
+    spans = F.when(some, F.regexp_extract_all(text, F.lit(f"(?:{protected})"), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    between = F.when(some, F.split(text, f"(?:{protected})", -1)).otherwise(F.array(text))
 
     def values(parts: Column) -> Column:
         masked = F.array_join(
@@ -55,7 +55,10 @@ def split_values(column: Column, separators: str = LIST_SEPARATORS, protected: s
         some = F.filter(F.transform(F.split(masked, separators, -1), lambda v: F.regexp_replace(v, TRIMMED, "")), lambda v: v != "")
         return F.filter(F.transform(some, lambda v: _restored(v, parts["spans"])), lambda v: F.regexp_replace(v, TRIMMED, "") != "")
 
-    return bound(F.struct(spans.alias("spans"), between.alias("between")), values)
+    found = bound(F.struct(spans.alias("spans"), between.alias("between")), values)
+    if not opened:
+        return found
+    return F.filter(F.flatten(F.transform(found, lambda v: F.split(v, separators, -1))), lambda v: F.regexp_replace(v, TRIMMED, "") != "")
 
 
 def _restored(value: Column, spans: Column) -> Column:

@@ -37,7 +37,7 @@ def p1_found(spark, sf_dir):
         "uses_str",
         ["ngram_id", "post_id"],
         separators=packed.NUMBER_SEPARATORS,
-        protected=None,
+        opened=True,
     )
     a = interests.select(F.lit("interests").alias("field"), F.col("id").alias("id_a"), F.lit(0).cast("long").alias("id_b"), "pos", "val")
     b = uses.select(F.lit("uses_str").alias("field"), F.col("ngram_id").alias("id_a"), F.col("post_id").alias("id_b"), "pos", "val")
@@ -48,7 +48,7 @@ def p1_found(spark, sf_dir):
 def p1_positions(spark, sf_dir):
     """One row per position of each posting."""
     return packed.packed_values(
-        table(spark, sf_dir, "unigramtopost"), "uses_str", ["ngram_id", "post_id"], separators=packed.NUMBER_SEPARATORS, protected=None
+        table(spark, sf_dir, "unigramtopost").select("ngram_id", "post_id", "uses_str"), "uses_str", ["ngram_id", "post_id"], separators=packed.NUMBER_SEPARATORS, opened=True
     )
 
 

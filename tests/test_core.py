@@ -42,8 +42,10 @@ def test_packed_edges(spark):
 
 
 def test_packed_numbers(spark):
-    how = {"separators": packed.NUMBER_SEPARATORS, "protected": None}
-    assert values(spark, '"0,1"', "'9','9'", "{0, 10}", "; 0,1,", "1 22|37;49/3", None, **how) == [["0", "1"], ["9", "9"], ["0", "10"], ["0", "1"], ["1", "22", "37", "49", "3"], []]
+    how = {"separators": packed.NUMBER_SEPARATORS, "opened": True}
+    assert values(spark, '"0,1"', "'9','9'", "{0, 10}", "; 0,1,", "1 22|37;49/3", None, '"1,2"; {3, (4)} 5"6"', "'", **how) == [
+        ["0", "1"], ["9", "9"], ["0", "10"], ["0", "1"], ["1", "22", "37", "49", "3"], [], ["1", "2", "3", "4", "5", "6"], [],
+    ]
 
 
 def test_packed_repeated_rows_once(spark):
