@@ -184,3 +184,26 @@ def p9_found(spark, sf_dir):
 def p9_shared_share(spark, sf_dir):
     """For each document how much of it stands elsewhere too."""
     return spans.document_shares(table(spark, sf_dir, "documents"), length=40)
+
+
+ORACLE["p6_found"] = r"""
+WITH words AS (SELECT id, regexp_extract_all(lower(coalesce(title, '') || ' ' || coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM post WHERE id IS NOT NULL),
+     seqs AS (SELECT DISTINCT id, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: array_to_string(w[i:i + 2], ' '))) AS s FROM words WHERE len(w) >= 12),
+     sizes AS (SELECT id, count(*) AS n FROM seqs GROUP BY id),
+     common AS (SELECT a.id AS post_a, b.id AS post_b, count(*) AS n FROM seqs a JOIN seqs b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2)
+SELECT post_a, post_b FROM common JOIN sizes x ON x.id = post_a JOIN sizes y ON y.id = post_b WHERE 3 * common.n >= x.n + y.n"""
+
+_SPANS = r"""
+WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
+     windows AS (SELECT doc_id, i, hash(w[i:i + 39]) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 39)) AS i FROM words WHERE len(w) >= 40)),
+     shared AS (SELECT s FROM windows GROUP BY s HAVING count(DISTINCT doc_id) > 1),
+     hits AS (SELECT doc_id, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 40, false) AS INTEGER) AS starts FROM windows JOIN shared USING (s)),
+     numbered AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
+     spans AS (SELECT doc_id, min(i) - 1 AS first_word, max(i) + 38 AS last_word FROM numbered GROUP BY doc_id, run)"""
+ORACLE["p9_found"] = _SPANS + " SELECT doc_id, first_word, last_word FROM spans"
+ORACLE["p9_shared_share"] = (
+    _SPANS
+    + """, sums AS (SELECT doc_id, sum(last_word - first_word + 1) AS shared_words, count(*) AS spans FROM spans GROUP BY doc_id)
+SELECT doc_id, len(w) AS words, CAST(coalesce(shared_words, 0) AS BIGINT) AS shared_words, coalesce(sums.spans, 0) AS spans, CASE WHEN len(w) = 0 THEN 0.0 ELSE coalesce(shared_words, 0)::DOUBLE / len(w) END AS share
+FROM words LEFT JOIN sums USING (doc_id)"""
+)
