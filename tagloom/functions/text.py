@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The stop words of the default list.
@@ -21,7 +21,14 @@ def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def words_of(text: Column, lemma: Callable[[Column], Column] = lambda w: w) -> Column:
+def same(word: Column) -> Column:
+    return word
+
+
+Lemma = Callable[[Column], Column]
+
+
+def words_of(text: Column, lemma: Lemma = same) -> Column:
     """Runs of letters, in lower case; null gives none."""
     return F.transform(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0)), lemma)
 
@@ -48,8 +55,25 @@ def post_text(title: Column, text: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit(". "), F.coalesce(text, F.lit("")))
 
 
-def postings(posts: DataFrame, id_column: str, text: Column, n: int = 1, stop: list[str] = STOP_WORDS) -> DataFrame:
+def ngram_counts(posts: DataFrame, id_column: str, text: Column, n: int = 1, stop: list[str] = STOP_WORDS, lemma: Lemma = same) -> DataFrame:
+    """``post_id, ngram, uses``: how often each n-gram stands in each text, without positions."""
+    items = posts.select(F.col(id_column).alias("post_id"), F.explode(without(ngrams_of(words_of(text, lemma), n), stop)).alias("ngram"))
+    return items.groupBy("post_id", "ngram").agg(F.count("*").alias("uses"))
+
+
+def postings(posts: DataFrame, id_column: str, text: Column, n: int = 1, stop: list[str] = STOP_WORDS, lemma: Lemma = same) -> DataFrame:
     """``post_id, ngram, uses_str, uses_cnt``: positions count from 0 in the list that is left after stop words."""
-    items = posts.select(F.col(id_column).alias("post_id"), F.posexplode(without(ngrams_of(words_of(text), n), stop)).alias("pos", "ngram"))
+    return positioned(posts.select(F.col(id_column).alias("post_id"), without(ngrams_of(words_of(text, lemma), n), stop).alias("items")))
+
+
+def positioned(lists: DataFrame) -> DataFrame:
+    """``post_id, ngram, uses_str, uses_cnt`` from ``post_id, items``: each item's places in the list, from 0."""
+    items = lists.select("post_id", F.posexplode("items").alias("pos", "ngram"))
     grouped = items.groupBy("post_id", "ngram").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     return grouped.select("post_id", "ngram", F.array_join(F.col("positions").cast("array<string>"), ",").alias("uses_str"), F.size("positions").alias("uses_cnt"))
+
+
+def stop_words(spark: SparkSession, path: str) -> list[str]:
+    """The words of a text file, separated by white space; a list of stop words is short."""
+    words = spark.read.text(path).select(F.explode(F.split("value", r"\s+")).alias("w")).where("w != ''").distinct()
+    return sorted(r.w for r in words.collect())

@@ -36,8 +36,13 @@ def top_per_tag(scores: DataFrame, k: int) -> DataFrame:
 
 
 def top_total(scores: DataFrame, total: int) -> DataFrame:
-    """About ``total`` n-grams, from each tag in proportion to its rows; at most ``total``, ordered by type and text."""
-    everything = scores.agg(F.count("*").alias("all_rows"))  # one row
-    counted = _ranked(scores).withColumn("tag_rows", F.count("*").over(Window.partitionBy("tag_id")))
-    share = counted.join(F.broadcast(everything), how="cross").where(F.col("rank") <= F.try_divide(F.col("tag_rows") * F.lit(float(total)), F.col("all_rows")))
+    """About ``total`` n-grams, from each tag in proportion to its rows; at most ``total``, ordered by type and text.
+
+    No tag gives more than ``total``, so ranks beyond that are cut off before the tags' rows meet.
+    """
+    per_tag = scores.groupBy("tag_id").agg(F.count("*").alias("tag_rows"))
+    everything = per_tag.agg(F.sum("tag_rows").alias("all_rows"))  # one row
+    sizes = per_tag.join(F.broadcast(everything), how="cross")
+    first = _ranked(scores).where(F.col("rank") <= total).join(sizes, "tag_id")
+    share = first.where(F.col("rank") <= F.try_divide(F.col("tag_rows") * F.lit(float(total)), F.col("all_rows")))
     return share.select("type", "ngram").distinct().orderBy("type", "ngram").limit(total)

@@ -11,23 +11,10 @@ from tagloom.functions import parse, text
 from tagloom.ml import dataset, evaluate, models
 from tagloom.operators import packed, popularity, queue, tfidf
 from tagloom.operators.corpus import Corpus
+from tagloom.plans.registry import query
 from tagloom.session import written
 from tagloom.sources.tables import table
 
-QUERIES: dict = {}
-ORACLE: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 @query()
 def p1_found(spark, sf_dir):
     """One row per value of users' interests and of the positions of each posting."""
@@ -71,7 +58,7 @@ def top_tags_offset(spark, sf_dir):
     return popularity.top_by_offset(popularity.tag_scores(Corpus(spark, sf_dir)), 3, 5)
 
 
-@query(_SCORE + " SELECT tag_id, text, score FROM score WHERE score BETWEEN 100 AND 50000")
+@query(_SCORE + " SELECT tag_id, text, score FROM score WHERE score BETWEEN 100 AND 50000 ORDER BY score DESC, text, tag_id")
 def top_tags_score_gap(spark, sf_dir):
     return popularity.top_by_gap(popularity.tag_scores(Corpus(spark, sf_dir)), 100, 50000)
 
@@ -81,7 +68,7 @@ _WEEKS = f"""WITH {_TP}, {_TU},
  top AS (SELECT tag.id AS tag_id, text FROM tag JOIN u ON u.tag_id = tag.id JOIN p ON p.tag_id = tag.id ORDER BY u.n * p.n DESC, text, tag.id LIMIT 100),
  week AS (SELECT unnest(generate_series(TIMESTAMP '2014-12-31', TIMESTAMP '2015-12-31', INTERVAL 7 DAY)) AS w)
  SELECT CAST(w AS DATE) AS week, top.text, count(*) AS count FROM week JOIN post ON date BETWEEN w AND w + INTERVAL 7 DAY
- JOIN tp ON tp.post_id = post.id JOIN top ON top.tag_id = tp.tag_id GROUP BY w, top.text"""
+ JOIN tp ON tp.post_id = post.id JOIN top ON top.tag_id = tp.tag_id GROUP BY w, top.text ORDER BY top.text, w"""
 
 
 @query(_WEEKS)
@@ -97,8 +84,8 @@ def tag_week_pivot(spark, sf_dir):
 def _adjacent(posts, n: int):
     """``type, ngram, post_id, uses`` of the adjacent n-word n-grams of the posts' texts; ``n`` is their type."""
     # spread by post, so that counting within a post moves texts and not their n-grams
-    rows = text.postings(posts.select("id", "title", "text").repartition("id"), "id", text.post_text(F.col("title"), F.col("text")), n)
-    return rows.select(F.lit(n).alias("type"), "ngram", "post_id", F.col("uses_cnt").alias("uses"))
+    rows = text.ngram_counts(posts.select("id", "title", "text").repartition("id"), "id", text.post_text(F.col("title"), F.col("text")), n)
+    return rows.select(F.lit(n).alias("type"), "ngram", "post_id", "uses")
 
 
 def _ngrams(c: Corpus):
@@ -115,17 +102,19 @@ def _occurrences(c: Corpus):
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _TOKENS = "regexp_extract_all(lower(coalesce(title, '') || '. ' || coalesce(text, '')), '\\p{L}+')"
-_TFIDF = f"""WITH {_TP}, {_UP},
- words AS (SELECT id AS post_id, {_TOKENS} AS w FROM post),
- pairs AS (SELECT post_id, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM words WHERE len(w) > 1),
- rows AS (SELECT 1 AS type, text AS ngram, post_id, uses_cnt AS uses FROM up JOIN unigram ON unigram.id = up.ngram_id
-          UNION ALL SELECT 2, ngram, post_id, count(*) FROM pairs WHERE ngram NOT IN ({_STOP}) GROUP BY post_id, ngram),
+_ADJACENT = f"""words AS (SELECT id AS post_id, normalized, {_TOKENS} AS w FROM post),
+ pairs AS (SELECT post_id, normalized, unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS ngram FROM words WHERE len(w) > 1),
+ triples AS (SELECT post_id, normalized, unnest(list_transform(generate_series(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) AS ngram FROM words WHERE len(w) > 2)"""
+_ROWS = f"""rows AS (SELECT 1 AS type, text AS ngram, post_id, uses_cnt AS uses FROM up JOIN unigram ON unigram.id = up.ngram_id
+          UNION ALL SELECT 2, ngram, post_id, count(*) FROM pairs WHERE ngram NOT IN ({_STOP}) GROUP BY post_id, ngram
+          UNION ALL SELECT 3, ngram, post_id, count(*) FROM triples WHERE ngram NOT IN ({_STOP}) GROUP BY post_id, ngram)"""
+_TFIDF = f"""WITH {_TP}, {_UP}, {_ADJACENT}, {_ROWS},
  occ AS (SELECT tag_id, type, ngram, uses FROM tp JOIN rows USING (post_id)),
  per AS (SELECT tag_id, type, ngram, coalesce(sum(uses), 0) AS uses, count(*) AS n FROM occ GROUP BY tag_id, type, ngram),
  tagsum AS (SELECT tag_id, sum(uses) AS total FROM per GROUP BY tag_id), spread AS (SELECT type, ngram, sum(n) AS n FROM per GROUP BY type, ngram),
  tags AS (SELECT count(*) AS n FROM tagsum),
- scores AS (SELECT per.tag_id, per.type, per.ngram, round(CASE WHEN total <> 0 THEN per.uses::DOUBLE / total::DOUBLE END, 9) AS tf, round(log10(tags.n::DOUBLE / spread.n::DOUBLE), 9) AS idf,
-   round(CASE WHEN total <> 0 THEN per.uses::DOUBLE / total::DOUBLE END * log10(tags.n::DOUBLE / spread.n::DOUBLE), 9) AS tf_idf
+ scores AS (SELECT per.tag_id, per.type, per.ngram, round(CASE WHEN total <> 0 THEN per.uses::DOUBLE / total::DOUBLE END, 9) AS tf, round(log10(tags.n::DOUBLE / spread.n::DOUBLE), 9) + 0.0 AS idf,
+   round(CASE WHEN total <> 0 THEN per.uses::DOUBLE / total::DOUBLE END * log10(tags.n::DOUBLE / spread.n::DOUBLE), 9) + 0.0 AS tf_idf
    FROM per JOIN tagsum USING (tag_id) JOIN spread USING (type, ngram) CROSS JOIN tags),
  ranked AS (SELECT *, row_number() OVER (PARTITION BY tag_id ORDER BY tf_idf DESC NULLS LAST, type, ngram) AS rn, count(*) OVER (PARTITION BY tag_id) AS tag_rows FROM scores)"""
 
@@ -173,7 +162,7 @@ def ngram_counts(spark, sf_dir):
     return c.posts.select(F.col("id").alias("post_id")).join(c.postings, "post_id", "left").groupBy("post_id").agg(F.count("ngram_id").alias("ngrams"))
 
 
-@query(f"WITH words AS (SELECT {_TOKENS} AS w FROM post), pairs AS (SELECT DISTINCT unnest(list_transform(generate_series(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1])) AS text FROM words WHERE len(w) > 1) SELECT text FROM unigram UNION ALL SELECT text FROM pairs")
+@query(f"WITH {_ADJACENT} SELECT text FROM unigram UNION ALL (SELECT DISTINCT ngram FROM pairs) UNION ALL (SELECT DISTINCT ngram FROM triples)")
 def all_ngram_texts(spark, sf_dir):
     """Texts of the n-grams of all types, not distinct across types."""
     c = Corpus(spark, sf_dir)
@@ -182,13 +171,13 @@ def all_ngram_texts(spark, sf_dir):
     return c.unigrams.select("text").unionByName(two).unionByName(three)
 
 
-@query(f"WITH {_UP} SELECT post_id, text, uses_cnt AS uses FROM up JOIN unigram ON unigram.id = up.ngram_id")
+@query(f"WITH {_UP}, {_ADJACENT}, {_ROWS} SELECT post_id, ngram AS text, uses FROM rows")
 def ngrams_of_posts(spark, sf_dir):
     """Texts and uses of each post's n-grams of all types."""
     return _ngrams(Corpus(spark, sf_dir)).select("post_id", F.col("ngram").alias("text"), "uses")
 
 
-@query("SELECT DISTINCT text FROM unigram WHERE id IN (SELECT ngram_id FROM unigramtopost WHERE post_id IN (SELECT id FROM post WHERE normalized))")
+@query(f"WITH {_ADJACENT} SELECT text FROM unigram WHERE id IN (SELECT ngram_id FROM unigramtopost WHERE post_id IN (SELECT id FROM post WHERE normalized)) UNION SELECT ngram FROM pairs WHERE normalized UNION SELECT ngram FROM triples WHERE normalized")
 def ngram_names_distinct(spark, sf_dir):
     """Different n-gram texts of the normalized posts, over all types."""
     c = Corpus(spark, sf_dir)
@@ -381,7 +370,7 @@ def friends_parse(spark, sf_dir):
     return lines.select("region_id", F.explode(parse.friends(F.col("body"))).alias("friend")).distinct()
 
 
-@query("SELECT id, lower(text) AS name, CAST(id % 100000 AS INTEGER) AS uses FROM tag WHERE id IS NOT NULL AND regexp_matches(text, '^[a-zа-яё]+$')")
+@query(r"SELECT id, lower(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS name, CAST(id % 100000 AS INTEGER) AS uses FROM tag WHERE id IS NOT NULL AND regexp_matches(text, '\S')")
 def tag_anchors(spark, sf_dir):
     """Tags and their uses as a tag page shows them."""
     page = F.concat(F.lit('<p><a href="/tag/'), _markup(F.col("text")), F.lit('" title="'), (F.col("id") % 100000).cast("string"), F.lit(' uses">'), _markup(F.col("text")), F.lit("</a></p>"))
@@ -535,6 +524,7 @@ def region_gate(spark, sf_dir):
     return rows.select("id", status.alias("status"))
 
 
+# fixed values: the paths whose exclusion is counted
 _PATHS = ["/", "/data/foaf/", "/tag/", "/data/rss/", "/misc/fdata/", "/calendar", "/2015/", "/2012/"]
 
 
