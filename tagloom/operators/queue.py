@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tagloom.session import written
+
 
 def first_wins(rows: DataFrame, keys: list[str], arrival: list[Column | str]) -> DataFrame:
     """One row per key, the first by arrival: a later row of a known key is ignored."""
@@ -18,20 +20,20 @@ def appended(target: DataFrame, new: DataFrame, keys: list[str], arrival: list[C
     return first_wins(rows, keys, arrival)
 
 
-def numbered(rows: DataFrame, order: str) -> DataFrame:
-    """``row_number`` by an integer column without a single-task window: ranges are counted, then numbered side by side."""
-    from pyspark.sql.types import LongType
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``row_number`` by one or more columns without a single-task window, for keys that hardly repeat; nulls in the first are left out.
 
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.withColumn("row_number", F.lit(None).cast(LongType()))
-    width = max(1, (high - low + 1) // 256)
-    keyed = rows.where(F.col(order).isNotNull()).withColumn("_range", F.expr(f"div({order} - {low}, {width})"))
-    sizes = keyed.groupBy("_range").agg(F.count("*").alias("_n"))  # at most 257 rows
+    The rows are cut into ranges of about equal numbers, whatever the type and the gaps of the key; the ranges are counted
+    and then numbered side by side. They are written once, so that both see the same ranges.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = rows.where(F.col(order[0]).isNotNull()).repartitionByRange(parts, *order)
+    kept = written(kept.withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each range
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("_range", before.alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(order))
-    return keyed.join(F.broadcast(sizes), "_range").withColumn("row_number", F.col("_before") + inside).drop("_range", "_before")
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return kept.join(F.broadcast(sizes), "_range").withColumn("row_number", F.col("_before") + inside).drop("_range", "_before")
 
 
 def reserved(free: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
@@ -44,3 +46,21 @@ def with_status(rows: DataFrame, done: DataFrame, key: str, column: str) -> Data
     """``rows`` with ``column`` true where the key is among ``done``."""
     marks = done.select(key).distinct().withColumn("_done", F.lit(True))
     return rows.join(marks, key, "left").withColumn(column, F.coalesce("_done", column)).drop("_done")
+
+
+def assigned(rows: DataFrame, chosen: DataFrame, key: str, column: str, worker: int) -> DataFrame:
+    """``rows`` with ``column`` set to the worker where the key was chosen: a reservation written back."""
+    marks = chosen.select(key).distinct().withColumn("_mine", F.lit(worker))
+    return rows.join(marks, key, "left").withColumn(column, F.coalesce("_mine", column)).drop("_mine")
+
+
+def free(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of which all these columns are null: nobody has them."""
+    for c in columns:
+        rows = rows.where(F.col(c).isNull())
+    return rows
+
+
+def reserved_by(rows: DataFrame, owner: str, worker: int, open_when: Column) -> DataFrame:
+    """Rows the worker has reserved and not finished."""
+    return rows.where((F.col(owner) == worker) & open_when)

@@ -240,13 +240,6 @@ def normalized_ids_by_tags(spark, sf_dir):
     return c.normalized.select("id").join(tagged, "id", "left_semi").join(c.postings.select(F.col("post_id").alias("id")), "id", "left_semi")
 
 
-@query("SELECT DISTINCT nick FROM documents WHERE nick IS NOT NULL AND nick NOT IN (SELECT nick FROM userlj WHERE nick IS NOT NULL)")
-def raw_users_new(spark, sf_dir):
-    """Nicks seen in captured texts that are no users yet: what an append to the work queue adds."""
-    seen = table(spark, sf_dir, "documents").select("nick", "doc_id")
-    return queue.appended(table(spark, sf_dir, "userlj").select("nick"), seen, ["nick"], ["doc_id"]).select("nick")
-
-
 @query("SELECT id, nick FROM userlj WHERE fetched IS NULL")
 def users_unfinished(spark, sf_dir):
     return Corpus(spark, sf_dir).users.where("fetched is null").select("id", "nick")
@@ -374,7 +367,7 @@ def friends_parse(spark, sf_dir):
 def tag_anchors(spark, sf_dir):
     """Tags and their uses as a tag page shows them."""
     page = F.concat(F.lit('<p><a href="/tag/'), _markup(F.col("text")), F.lit('" title="'), (F.col("id") % 100000).cast("string"), F.lit(' uses">'), _markup(F.col("text")), F.lit("</a></p>"))
-    rows = table(spark, sf_dir, "tag").where("id is not null").select("id", F.explode(parse.tag_anchors(page, F.lit("/tag/"))).alias("tag"))
+    rows = table(spark, sf_dir, "tag").where("id is not null").select("id", F.explode(parse.tag_anchors(page, F.lit("/tag/"), F.lit("/users/tag/"))).alias("tag"))
     return rows.select("id", "tag.name", "tag.uses")
 
 

@@ -125,7 +125,7 @@ def test_parsers(spark):
     assert one(spark, parse.joined_interests(F.array(lit("a"), lit("b")))) == "a,b,"
     assert one(spark, parse.html_text(lit("<p>a<b>b</b>&amp;c</p>"))) == "a b &c"
     page = '<a href="/tag/x" title="12 uses">Tea</a><a href="/other">no</a><a href="/tag/y">TEA</a>'
-    assert one(spark, parse.tag_anchors(lit(page), lit("/tag/"))) == [("tea", 12)]
+    assert one(spark, parse.tag_anchors(lit(page), lit("/tag/"), lit("/u/tag/"))) == [("tea", 12)]
     rss = "<rss><channel><item><title>t</title><guid>http://a/5.html</guid><category>Tea</category></item></channel></rss>"
     item = one(spark, parse.rss_items(lit(rss)))[0]
     assert (item.title, item.tags, item.replies) == ("t", ["tea"], None)
