@@ -410,6 +410,19 @@ def matrix_multi_hot(spark, sf_dir):
     return dataset.multi_label(named, tagged, top)
 
 
+@query(_LEARN + " SELECT text AS label, CAST(row_number() OVER (ORDER BY text) - 1 AS INTEGER) AS slot FROM (SELECT DISTINCT text FROM tagged)")
+def label_index(spark, sf_dir):
+    return dataset.label_index(_learning(Corpus(spark, sf_dir))[1])
+
+
+@query(_LEARN + """ SELECT p.post_id, 'Tag_' || top.text AS attribute, CAST((p.post_id, top.text) IN (SELECT post_id, text FROM tagged) AS INTEGER) AS value FROM (SELECT DISTINCT post_id FROM tagged WHERE post_id IN (SELECT post_id FROM fit)) p CROSS JOIN top
+ UNION ALL SELECT post_id, ngram, coalesce(uses_cnt, 0) FROM named WHERE post_id IN (SELECT post_id FROM fit)""")
+def matrix_multi_label(spark, sf_dir):
+    """Labels first, then the counts of the n-grams."""
+    top, tagged, named = _learning(Corpus(spark, sf_dir))
+    return dataset.multi_label_matrix(named, tagged, top)
+
+
 @query("WITH n AS (SELECT CAST(floor(count(DISTINCT id) * 0.2) AS BIGINT) AS k FROM post WHERE normalized), r AS (SELECT id, row_number() OVER (ORDER BY (id % 1000003 * 7919 + 104729) % 1000003, id) AS rn FROM post WHERE normalized) SELECT id AS post_id, CASE WHEN rn <= k THEN 'test' ELSE 'train' END AS part FROM r CROSS JOIN n")
 def train_test_split(spark, sf_dir):
     return dataset.split(Corpus(spark, sf_dir).normalized.select(F.col("id").alias("post_id")), 0.2)
@@ -439,6 +452,18 @@ def confusion_matrix(spark, sf_dir):
     return evaluate.confusion_matrix(_judged(spark, sf_dir), "truth", "predicted")
 
 
+@query(f"""WITH {_JUDGED}, n AS (SELECT count(*)::DOUBLE AS n, count(*) FILTER (truth = predicted) AS ok, (avg(truth) * avg(predicted) + (1 - avg(truth)) * (1 - avg(predicted))) AS pe FROM judged)
+ SELECT CAST(n AS BIGINT) AS judged, ok AS "right", CAST(n AS BIGINT) - ok AS wrong, round(ok / n, 9) AS accuracy, round((ok / n - pe) / (1 - pe), 9) AS kappa FROM n""")
+def evaluation_summary(spark, sf_dir):
+    return evaluate.summary(_judged(spark, sf_dir), "truth", "predicted")
+
+
+@query(f"""WITH {_JUDGED}, k AS (SELECT unnest([0, 1]) AS label), s AS (SELECT label, count(*) FILTER (truth = label) AS n, count(*) FILTER (predicted = label) AS said, count(*) FILTER (truth = label AND predicted = label) AS ok FROM k CROSS JOIN judged GROUP BY label)
+ SELECT label, n AS rows, round(ok / said::DOUBLE, 9) AS precision, round(ok / n::DOUBLE, 9) AS recall, round(2 * ok / (n + said)::DOUBLE, 9) AS f1 FROM s""")
+def evaluation_per_class(spark, sf_dir):
+    return evaluate.class_details(_judged(spark, sf_dir), "truth", "predicted")
+
+
 @query("""WITH dims AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings),
  bounds AS (SELECT d, min(x) AS lo, max(x) AS hi FROM dims GROUP BY d),
  s AS (SELECT vec_id, label, d, CASE WHEN hi > lo THEN (x - lo) / (hi - lo) ELSE x - lo END AS x FROM dims JOIN bounds USING (d)),
@@ -470,13 +495,13 @@ def lsa_project(spark, sf_dir):
 @query()
 def naive_bayes(spark, sf_dir):
     train, test = _labelled(spark, sf_dir)
-    return evaluate.confusion_matrix(models.naive_bayes(train).transform(test), "label", "prediction")
+    return evaluate.confusion_matrix(models.Built(models.naive_bayes).build(train).judged(test), "label", "prediction")
 
 
 @query()
 def decision_tree(spark, sf_dir):
     train, test = _labelled(spark, sf_dir)
-    return evaluate.confusion_matrix(models.decision_tree(train).transform(test), "label", "prediction")
+    return evaluate.confusion_matrix(models.Built(models.decision_tree).build(train).judged(test), "label", "prediction")
 
 
 @query()
