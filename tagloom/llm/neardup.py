@@ -347,7 +347,7 @@ def similar_pairs(
     roles = families.where("post != leader").select("post", F.lit(True).alias("member"), F.lit(None).cast("int").alias("need"), F.lit(None).cast("int").alias("least_overlap"))
     roles = roles.unionByName(bounds.select(F.col("leader").alias("post"), F.lit(False).alias("member"), "need", "least_overlap"))
     leaders = docs.join(roles.withColumnRenamed("post", "doc_id"), "doc_id", "left").where("member is null or not member")
-    groups = bucket_count(docs, 10 << 20, 6)
+    groups = bucket_count(docs, 4 << 20, 6)
     found = text(leaders, "need", "least_overlap").mapInArrow(_index(length, least_words, groups, levels, bits), "key int, data binary")
     own = bounds.select(F.col("leader").alias("leader_a"), F.col("leader").alias("leader_b"))
     candidates = found.repartition(max(1, groups), "key").groupBy("key").applyInArrow(_table(_pairs, [("leader_a", pa.int64()), ("leader_b", pa.int64())]), "leader_a long, leader_b long").distinct()

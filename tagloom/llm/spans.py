@@ -25,13 +25,20 @@ ARROW = pa.schema([("key", pa.int32()), ("block", pa.int64()), ("kind", pa.int32
 ENTRIES, INDEX, REPLY = 0, 1, 2
 #: Bytes of text handled at once; bounds a Python worker's memory.
 BLOCK_BYTES = 4 << 20
+#: Ranges up to which they are of the least size, and the text of one range at most (a task's Python memory is about ten times that).
+COMFORT, RANGE_BYTES = 15_000, 64 << 20
 #: Hash ranges of one task, and at most in all: what a 32-bit key can name, enough for 4,000 TB.
 RANGES_PER_TASK, MOST_BUCKETS = 4, (1 << 31) - 1
 
 
 def bucket_count(df: DataFrame, bytes_each: int = 2 << 20, least: int = 48) -> int:
-    """Hash ranges: in proportion to the input, so that a range stays of a bounded size."""
-    return int(min(max(least, scan_bytes(df) // bytes_each), MOST_BUCKETS))
+    """Hash ranges: in proportion to the input, so that a range stays of a bounded size.
+
+    A block sends an entry to every range; beyond COMFORT ranges these get so small that ranges grow instead, up to RANGE_BYTES.
+    """
+    size = scan_bytes(df)
+    each = max(bytes_each, min(RANGE_BYTES, size // COMFORT))
+    return int(min(max(least, size // each), MOST_BUCKETS))
 
 
 def by_range(rows: DataFrame, column: str, buckets: int) -> DataFrame:
