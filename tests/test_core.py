@@ -276,3 +276,157 @@ def test_feeds_hold_whole_posts(spark, tmp_path):
         3: ("t", "<p>q</p>", str(at), None, ["чай"], 0),
     }
     assert sorted(catalog.guid_extract(spark, str(tmp_path)).collect()) == [(1, 51), (2, 52)]
+
+
+# ---- lookups, writes, queues, sources, rules
+
+
+@pytest.fixture
+def folder(spark, tmp_path):
+    """A small corpus: post 1 with two tags, post 2 not normalized, post 3 without anything, a repeated posting."""
+    at = datetime(2015, 5, 1)
+    posts = [(1, 11, 1, at, "Red tea", "red tea cup", True, 0, None), (2, 12, 1, at, "x", None, False, 1, 5), (3, 13, 2, at, None, "", True, None, None)]
+    rows = {
+        "post": (posts, "id long, url long, user_id long, date timestamp_ntz, title string, text string, normalized boolean, comments int, normalizer_id int"),
+        "userlj": ([(1, "a_b", 1), (2, "c", None), (3, None, 1)], "id long, nick string, region_id long"),
+        "region": ([(1, "EUROPE")], "r_regionkey int, r_name string"),
+        "tag": ([(7, "Tea"), (8, "cup"), (None, "lost")], "id long, text string"),
+        "tagtopost": ([(7, 1), (7, 1), (8, 1), (7, 2), (None, 1)], "tag_id long, post_id long"),
+        "unigram": ([(1, "red"), (2, "tea")], "id long, text string"),
+        "unigramtopost": ([(1, 1, "0,2", 2), (1, 1, "0", 1), (2, 1, "1,3", 2), (2, 2, None, None), (9, 1, "1", 1)], "ngram_id long, post_id long, uses_str string, uses_cnt int"),
+    }
+    for name, (values_, schema) in rows.items():
+        spark.createDataFrame(values_, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    return str(tmp_path)
+
+
+def test_lookups_by_list(spark, folder):
+    from tagloom.operators import lookups
+    from tagloom.operators.corpus import Corpus
+
+    c = Corpus(spark, folder)
+    ids = lookups.id_list(spark, [1, 1, 2, 3, 99])
+    assert {r.post_id: r.tags for r in lookups.tags_map(c, ids).collect()} == {1: ["Tea", "cup"], 2: ["Tea"], 3: [], 99: []}
+    assert sorted(r.text for r in lookups.tags_of_posts(c, ids).collect()) == ["Tea", "cup"]
+    assert {r.post_id: r.length for r in lookups.lengths_of(c, ids).collect()} == {1: 10, 3: 0}  # the repeated post twice
+    assert lookups.post_lengths(c, [1, 3, 1]) == {1: 5, 3: 0}
+    for bad in ([2], [99]):
+        with pytest.raises(LookupError):
+            lookups.post_lengths(c, bad)
+    maps = {r.post_id: [(x.text, x.uses) for x in r.ngrams] for r in lookups.ngrams_map(c, ids, 1).collect()}
+    assert maps == {1: [("red", 2), ("red", 2), ("tea", 2), ("tea", 2)], 2: [("tea", None)], 3: [], 99: []}
+    assert lookups.ngram_count(c, 99, 3).collect() == [(0,)]
+    assert lookups.ngram_count(c, 1, 2).collect() == [(3,)]  # red tea, tea red, tea cup
+    assert {r.text for r in lookups.ngram_names(c, ids, 3).collect()} == {"red tea red", "tea red tea", "red tea cup"}
+    assert [r.id for r in lookups.normalized_ids_by_tags(c, ["Tea", "nothing"]).collect()] == [1]
+    assert sorted(r.url for r in lookups.user_post_urls(c, "a_b").collect()) == [11, 12]
+    assert {(r.text, r.uses) for r in lookups.tags_of_nick(c, "a_b").collect()} == {("Tea", 2), ("cup", 1)}
+    assert lookups.tags_map(c, ids.limit(0)).count() == 0
+
+
+def test_inserts(spark, folder):
+    from tagloom.operators import writes
+    from tagloom.operators.corpus import Corpus
+
+    c = Corpus(spark, folder)
+    people = spark.createDataFrame([("a_b", "EUROPE", ["s"]), ("new", "EUROPE", ["s", "t"]), ("new", "MOON", ["u"]), ("odd", "MOON", None)], "nick string, region string, schools array<string>")
+    users, schools, links = writes.insert_users(c.users.select("id", "nick"), c.regions, spark.createDataFrame([(4, "s")], "id long, name string"), people)
+    assert sorted(users.select("nick", "id", "region_id").collect()) == [("new", 4, 1), ("odd", 5, None)]
+    assert schools.collect() == [(5, "t")] and sorted(links.collect()) == [(4, 4), (4, 5)]
+    posts = spark.createDataFrame([(1, 11, "t", "x", ["Tea"]), (2, 50, "b", "x", ["Tea", "unknown"]), (2, 50, "c", "y", ["cup"]), (None, 1, "q", "q", ["Tea"])], "user_id long, url long, title string, text string, tags array<string>")
+    added, tagged = writes.insert_posts(c.posts.select("id", "user_id", "url"), c.tags, c.tag_posts, posts)
+    assert [(r.id, r.user_id, r.url, r.title, r.normalized) for r in added.collect()] == [(4, 2, 50, "b", False)]
+    assert tagged.collect() == [(7, 4)]
+    seen = spark.createDataFrame([("a_b", "Tea", 9), ("c", "Tea", 3), ("c", "fresh", None), ("nobody", "fresh", 1)], "nick string, text string, uses int")
+    tags, bridge = writes.insert_tags(c.tags, c.tag_users, c.users, seen)
+    assert tags.collect() == [(9, "fresh")] and sorted(bridge.select("tag_id", "user_id", "uses").collect()) == [(7, 2, 3), (9, 2, None)]
+    found = spark.createDataFrame([(3, "red", "0", 1), (3, "cup", "1", 1), (1, "red", "5", 1)], "post_id long, ngram string, uses_str string, uses_cnt int")
+    ngrams, postings = writes.insert_ngrams(c.unigrams, c._read("unigramtopost"), found)
+    assert ngrams.collect() == [(3, "cup")] and sorted(postings.select("ngram_id", "post_id").collect()) == [(1, 3), (3, 3)]
+    assert writes.insert_names(c.regions, c.regions).count() == 0
+
+
+def test_reservation_is_written_back(spark):
+    rows = spark.createDataFrame([(k, None if k % 2 else 3) for k in range(10)], "id long, worker long")
+    chosen = queue.reserved(queue.free(rows, ["worker"]), "id", 3)
+    after = queue.assigned(rows, chosen, "id", "worker", 8)
+    assert after.count() == 10 and after.where("worker = 8").count() == 3 and after.where("worker = 3").count() == 5
+    assert queue.reserved_by(after, "worker", 8, F.lit(True)).count() == 3
+
+
+def test_numbering_of_texts(spark):
+    words = sorted({f"w{k * 7919 % 1000}" for k in range(500)})
+    got = {r.w: r.row_number for r in queue.numbered(spark.createDataFrame([(w,) for w in words] + [(None,)], "w string").repartition(3), "w").collect()}
+    assert got == {w: k for k, w in enumerate(words, 1)}
+
+
+def test_sources(spark, folder, tmp_path):
+    from tagloom.sources import payloads, tables
+
+    answers = [("n", "foaf", 200, "OK", "<x/>"), ("n", "tags", 404, "Not Found", "junk"), ("m", "foaf", 500, None, "junk")]
+    spark.createDataFrame(answers, payloads.SCHEMA).write.parquet(f"{tmp_path}/answers")
+    assert {(r.nick, r.body) for r in payloads.payloads(spark, f"{tmp_path}/answers", "foaf").collect()} == {("n", "<x/>"), ("m", None)}
+    assert one(spark, payloads.request_url("http://a.test/x", q=F.lit("a b&ц"), r=F.lit(None).cast("string"))) == "http://a.test/x?q=a+b%26%D1%86"
+    (tmp_path / "stop.txt").write_text("one two\n\nthree\n one ")
+    assert text.stop_words(spark, f"{tmp_path}/stop.txt") == ["one", "three", "two"]
+    spark.sql("CREATE DATABASE IF NOT EXISTS model LOCATION '%s'" % (tmp_path / "db"))
+    names = tables.create_tables(spark, "model")
+    assert all(tables.has_table(spark, n) for n in names) and not tables.has_table(spark, "model.nothing")
+    assert tables.create_tables(spark, "model") == names and spark.table("model.post").count() == 0
+    spark.sql("DROP DATABASE model CASCADE")
+    for name in ("mastertag", "tfidfsimple"):
+        spark.createDataFrame([], tables.SCHEMAS[name]).write.parquet(f"{folder}/{name}.parquet")
+    tables.register_views(spark, folder)
+    assert sorted(spark.table("post_length").collect()) == [(1, 5), (3, 0)]
+    assert sorted(spark.table("tag_name_to_post").collect()) == [("Tea", 1), ("Tea", 2), ("cup", 1)]
+    for name in [*tables.SCHEMAS, *tables.VIEWS]:
+        spark.catalog.dropTempView(name)
+
+
+def test_week_matrix_as_text(spark, tmp_path):
+    rows = spark.createDataFrame([(date(2014, 12, 31), "Tea", 2), (date(2015, 1, 7), "cup", 1)], "week date, text string, count long")
+    popularity.write_matrix(popularity.week_matrix(rows, date(2015, 12, 31)), f"{tmp_path}/tsv")
+    lines = next(p for p in (tmp_path / "tsv").iterdir() if p.suffix == ".csv").read_text().splitlines()
+    assert lines[0] == "week\tTea\tcup" and lines[1].endswith("\t2\t0") and lines[2].endswith("\t0\t1") and len(lines) == 54
+
+
+def test_rules_and_hooks(spark):
+    from tagloom.functions import rules
+
+    df = spark.createDataFrame([(1, "Красный чай пить быстро красный чай"), (2, "чай"), (3, None)], "id long, s string")
+    got = {(r.post_id, r.ngram): r.uses_str for r in rules.rule_postings(df, "id", F.col("s"), 2, stop=[]).collect()}
+    assert got == {(1, "чай красный"): "0,1", (1, "пить быстро"): "2"}
+    lemma = lambda w: F.regexp_replace(w, "ный$", "")
+    assert {r.ngram for r in text.postings(df, "id", F.col("s"), 1, [], lemma).collect()} == {"крас", "чай", "пить", "быстро"}
+    verbs = rules.rule_postings(df, "id", F.col("s"), 9, stop=[], grammars={9: [rules.single("V"), rules.single("D")]})
+    assert sorted((r.ngram, r.uses_str) for r in verbs.collect()) == [("быстро", "1"), ("пить", "0")]
+
+
+def test_learner_wrapper(spark):
+    with pytest.raises(models.LearnerError):
+        models.Built(models.naive_bayes).judged(None)
+    with pytest.raises(models.LearnerError):
+        models.Built(models.naive_bayes).build(spark.range(2))
+
+
+def test_evaluation(spark):
+    rows = spark.createDataFrame([(0, 0), (0, 1), (1, 1), (1, 1), (2, 1), (None, 1)], "t int, p int")
+    s = evaluate.summary(rows, "t", "p").first()
+    assert (s.judged, s.right, s.wrong, s.accuracy) == (5, 3, 2, 0.6)
+    assert {r.label: (r.rows, r.precision, r.recall) for r in evaluate.class_details(rows, "t", "p").collect()} == {0: (2, 1.0, 0.5), 1: (2, 0.5, 1.0), 2: (1, None, 0.0)}
+    assert evaluate.summary(rows.limit(0), "t", "p").first().judged == 0
+
+
+def test_pages(spark):
+    lit = F.lit
+    page = '<ul><li><a href="/u/tag/1" class="c7">Tea</a> 12</li><li><a href="/u/tag/2" title="3 of 1234567">Cup</a></li><li><a href="/x">no</a><li><a href="/u/tag/3">many</a> 1234567</ul>'
+    got = one(spark, parse.tag_anchors(lit(page), lit("/tag/"), lit("/u/tag/")))
+    assert [tuple(x) for x in got] == [("tea", 12), ("cup", 3), ("many", None)]
+    assert one(spark, parse.tag_anchors(lit(None).cast("string"), lit("/tag/"), lit(""))) == []
+    table = "<table><tr><td>NGrams</td></tr><tr><td>head</td></tr><tr><td>a</td><td> b</td></tr></table><table><tr><td>x</td></tr><tr></tr><tr><td>y</td></tr></table>"
+    assert one(spark, parse.fact_rows(lit(table))) == ["a b"]
+    foaf = '<r xmlns:f="u:f" xmlns:y="u:y"><f:Person><f:nick>n</f:nick><y:country title="RU"/><y:comments><y:posted>4</y:posted><y:received>x</y:received></y:comments><y:school title="S" dateStart="1999"/></f:Person></r>'
+    p = one(spark, parse.foaf_person(lit(foaf)))
+    assert (p.nick, p.region, p.posted, p.received, [tuple(s) for s in p.schools]) == ("n", "RU", 4, None, [("S", "1999", None)])
+    items = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, None)], "id long, url long")
+    assert {(r.url, r.id) for r in parse.unknown_items(items, spark.createDataFrame([(6,)], "url long"), "url", "id").collect()} == {(5, 1)}
