@@ -27,7 +27,7 @@ QUOTED = "|".join(
 )
 BRACKETED = r"\((?:[^()]|\([^()]*\))*\)|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|\{(?:[^{}]|\{[^{}]*\})*\}"
 #: White space at the ends of a value.
-TRIMMED = r"^[\s\u00a0]+|[\s\u00a0]+$"
+BLANKS = " \t\n\x0b\f\r\u00a0"
 #: Comma, semicolon, bar, bullet, tab and line ends; a slash only between white space.
 LIST_SEPARATORS = r"[,;|•\t\n\r]|(?<=\s)/(?=\s)"
 #: Whatever is no digit and no part of a placeholder: for lists of numbers.
@@ -49,16 +49,27 @@ def split_values(column: Column, separators: str = LIST_SEPARATORS, protected: s
     between = F.when(some, F.split(text, f"(?:{protected})", -1)).otherwise(F.array(text))
 
     def values(parts: Column) -> Column:
+        none = F.size(parts["spans"]) == 0
         masked = F.array_join(
             F.transform(parts["between"], lambda piece, i: F.when(i == 0, piece).otherwise(F.concat(F.lit(MARK), (i - 1).cast("string"), F.lit(END), piece))), ""
         )
-        some = F.filter(F.transform(F.split(masked, separators, -1), lambda v: F.regexp_replace(v, TRIMMED, "")), lambda v: v != "")
-        return F.filter(F.transform(some, lambda v: _restored(v, parts["spans"])), lambda v: F.regexp_replace(v, TRIMMED, "") != "")
+        masked = F.when(none, F.get(parts["between"], F.lit(0))).otherwise(masked)
+        return bound(F.filter(F.transform(F.split(masked, separators, -1), _bare), lambda v: v != ""), lambda found: F.when(none, plain(found)).otherwise(whole(found, parts["spans"])))
 
-    found = bound(F.struct(spans.alias("spans"), between.alias("between")), values)
-    if not opened:
-        return found
-    return F.filter(F.flatten(F.transform(found, lambda v: F.split(v, separators, -1))), lambda v: F.regexp_replace(v, TRIMMED, "") != "")
+    def plain(found: Column) -> Column:
+        return F.transform(found, lambda v: F.replace(v, F.lit(MARK + ESCAPE), F.lit(MARK)))
+
+    def whole(found: Column, held: Column) -> Column:
+        restored = F.transform(found, lambda v: _restored(v, held))
+        if opened:
+            restored = F.flatten(F.transform(restored, lambda v: F.split(v, separators, -1)))
+        return F.filter(restored, lambda v: _bare(v) != "")
+
+    return bound(F.struct(spans.alias("spans"), between.alias("between")), values)
+
+
+def _bare(value: Column) -> Column:
+    return F.btrim(value, F.lit(BLANKS))
 
 
 def _restored(value: Column, spans: Column) -> Column:
