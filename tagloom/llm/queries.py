@@ -195,7 +195,14 @@ SELECT post_a, post_b FROM common JOIN sizes x ON x.id = post_a JOIN sizes y ON
 
 _SPANS = r"""
 WITH words AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\r]+'), lambda x: x <> '') AS w FROM documents WHERE doc_id IS NOT NULL),
-     windows AS (SELECT doc_id, i, hash(w[i:i + 39]) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 39)) AS i FROM words WHERE len(w) >= 40)),
+     h1 AS (SELECT doc_id, n, i, hash(x) AS h FROM (SELECT doc_id, len(w) AS n, generate_subscripts(w, 1) AS i, unnest(w) AS x FROM words WHERE len(w) >= 40)),
+     h2 AS (SELECT doc_id, n, i, hash(h, lead(h, 1) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h1),
+     h4 AS (SELECT doc_id, n, i, hash(h, lead(h, 2) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h2),
+     h8 AS (SELECT doc_id, n, i, hash(h, lead(h, 4) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h4),
+     h16 AS (SELECT doc_id, n, i, h AS h8, hash(h, lead(h, 8) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h8),
+     h32 AS (SELECT doc_id, n, i, h8, hash(h, lead(h, 16) OVER (PARTITION BY doc_id ORDER BY i)) AS h FROM h16),
+     h40 AS (SELECT doc_id, n, i, hash(h, lead(h8, 32) OVER (PARTITION BY doc_id ORDER BY i)) AS s FROM h32),
+     windows AS (SELECT doc_id, i, s FROM h40 WHERE i <= n - 39),
      shared AS (SELECT s FROM windows GROUP BY s HAVING count(DISTINCT doc_id) > 1),
      hits AS (SELECT doc_id, i, CAST(coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 40, false) AS INTEGER) AS starts FROM windows JOIN shared USING (s)),
      numbered AS (SELECT doc_id, i, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hits),
