@@ -430,3 +430,63 @@ def test_pages(spark):
     assert (p.nick, p.region, p.posted, p.received, [tuple(s) for s in p.schools]) == ("n", "RU", 4, None, [("S", "1999", None)])
     items = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, None)], "id long, url long")
     assert {(r.url, r.id) for r in parse.unknown_items(items, spark.createDataFrame([(6,)], "url long"), "url", "id").collect()} == {(5, 1)}
+
+
+def _kept_rows(spark, query, folder):
+    """The query's rows, and how many rows it wrote down on its way."""
+    from pathlib import Path
+
+    from tagloom.session import shared_dir
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    before = set(shared.glob("tagloom-*"))
+    rows = query(spark, folder).collect()
+    return rows, sum(spark.read.parquet(str(p)).count() for p in set(shared.glob("tagloom-*")) - before)
+
+
+def _same_as_sql(rows, name, folder):
+    import duckdb
+    import __spark_entry__ as entry
+
+    with duckdb.connect() as sql:
+        for t in ("post", "unigram", "unigramtopost", "tagtopost"):
+            sql.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet/*.parquet'")
+        wanted = sql.execute(entry.oracle_sql()[name]).fetchall()
+    assert sorted(map(tuple, rows), key=repr) == sorted(wanted, key=repr)
+
+
+def _tagged_tables(spark, folder, posts, unigrams, postings, tagged):
+    for name, rows, shape in (
+        ("post", posts, "id long, title string, text string, normalized boolean"),
+        ("unigram", unigrams, "id long, text string"),
+        ("unigramtopost", postings, "ngram_id long, post_id long, uses_cnt int"),
+        ("tagtopost", tagged, "tag_id long, post_id long"),
+    ):
+        spark.createDataFrame(rows, shape).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+
+
+def _odd_tables(spark, folder):
+    """Repeated, null and missing keys, equal and null texts, uses that are null, negative or sum to 0."""
+    posts = [(1, "A b", "c a, b C", True), (1, "b c", "a", True), (2, None, "a b", False), (3, "a", "b c", True), (4, None, None, True), (None, "x", "y z", True), (5, "Ёж É", "ёж é ёж É", True)]
+    unigrams = [(1, "a"), (2, "b"), (3, "c"), (4, None), (5, "a"), (6, "a b"), (3, "c2"), (None, "q")]
+    postings = [(1, 1, 2), (2, 1, 2), (3, 1, 2), (1, 2, 1), (3, 3, 1), (4, 1, 7), (5, 1, 3), (6, 1, None), (6, 1, 4), (6, 2, None), (1, 9, 5), (1, 8, -5), (2, 8, 5), (None, 1, 2), (1, None, 2)]
+    tagged = [(7, 1), (7, 1), (7, 2), (8, 2), (8, 3), (9, 3), (10, 4), (11, 9), (12, 8), (None, 1), (7, None), (13, 5), (14, 77)]
+    _tagged_tables(spark, folder, posts, unigrams, postings, tagged)
+
+
+def _wide_tables(spark, folder):
+    """40 tags of 100 words each, 7,960 n-grams of tags."""
+    word = lambda n: "".join(chr(97 + int(d)) for d in str(n))
+    posts = [(p, None, " ".join(word(100 * p + k) for k in range(100)), True) for p in range(40)]
+    _tagged_tables(spark, folder, posts, [(1, "a")], [(1, p, 2) for p in range(40)], [(p % 40, p) for p in range(40)])
+
+
+def test_tfidf_simple_keeps_no_row_for_each_ngram_of_a_tag(spark, tmp_path):
+    from tagloom.plans import catalog
+
+    for name, tables in (("odd", _odd_tables), ("wide", _wide_tables)):
+        folder = str(tmp_path / name)
+        tables(spark, folder)
+        rows, kept = _kept_rows(spark, catalog.tfidf_simple, folder)
+        _same_as_sql(rows, "tfidf_simple", folder)
+        assert kept < len(rows) / 2
