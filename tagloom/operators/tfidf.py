@@ -40,7 +40,11 @@ def top_total(scores: DataFrame, total: int) -> DataFrame:
 
     No tag gives more than ``total``, so ranks beyond that are cut off before the tags' rows meet.
     """
-    per_tag = scores.groupBy("tag_id").agg(F.count("*").alias("tag_rows"))
+    return share_of_total(scores, scores.groupBy("tag_id").agg(F.count("*").alias("tag_rows")), total)
+
+
+def share_of_total(scores: DataFrame, per_tag: DataFrame, total: int) -> DataFrame:
+    """`top_total` where the tags' rows are known (``tag_id, tag_rows``); scores may lack what no tag can give."""
     everything = per_tag.agg(F.sum("tag_rows").alias("all_rows"))  # one row
     sizes = per_tag.join(F.broadcast(everything), how="cross")
     first = _ranked(scores).where(F.col("rank") <= total).join(sizes, "tag_id")

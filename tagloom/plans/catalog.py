@@ -137,7 +137,9 @@ def tfidf_top_per_tag(spark, sf_dir):
 
 @query(_TFIDF + " SELECT type, ngram FROM (SELECT DISTINCT type, ngram FROM ranked WHERE rn <= tag_rows * 500.0::DOUBLE / (SELECT count(*) FROM scores)) ORDER BY type, ngram LIMIT 500")
 def tfidf_top_total(spark, sf_dir):
-    return tfidf.top_total(tfidf.tfidf(_occurrences(Corpus(spark, sf_dir))), 500)
+    rows = written(tagged.leading_in_total(*_tagged(Corpus(spark, sf_dir)), 500), "leading")
+    per_tag = rows.where("tag_rows is not null").groupBy("tag_id").agg(F.sum("tag_rows").alias("tag_rows"))
+    return tfidf.share_of_total(rows.where("tag_rows is null").drop("tag_rows"), per_tag, 500)
 
 
 @query(f"WITH {_UP} SELECT post.id AS post_id, CAST(coalesce(sum(uses_cnt), 0) AS BIGINT) AS length FROM post LEFT JOIN up ON up.post_id = post.id WHERE normalized GROUP BY post.id")

@@ -490,3 +490,16 @@ def test_tfidf_simple_keeps_no_row_for_each_ngram_of_a_tag(spark, tmp_path):
         rows, kept = _kept_rows(spark, catalog.tfidf_simple, folder)
         _same_as_sql(rows, "tfidf_simple", folder)
         assert kept < len(rows) / 2
+
+
+def test_tfidf_top_total_keeps_only_what_a_tag_can_give(spark, tmp_path, monkeypatch):
+    from tagloom.operators import tagged
+    from tagloom.plans import catalog
+
+    monkeypatch.setattr(tagged, "LEAST_RANGES", 1)
+    for name, tables in (("odd", _odd_tables), ("wide", _wide_tables)):
+        folder = str(tmp_path / name)
+        tables(spark, folder)
+        rows, kept = _kept_rows(spark, catalog.tfidf_top_total, folder)
+        _same_as_sql(rows, "tfidf_top_total", folder)
+    assert kept < 7960 / 2
