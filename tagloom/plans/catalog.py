@@ -95,11 +95,6 @@ def _ngrams(c: Corpus):
     return rows.unionByName(_adjacent(c.posts, 2)).unionByName(_adjacent(c.posts, 3))
 
 
-def _occurrences(c: Corpus):
-    """``tag_id, type, ngram, uses`` of the n-grams of all types."""
-    return c.tag_posts.join(_ngrams(c), "post_id").select("tag_id", "type", "ngram", "uses")
-
-
 def _tagged(c: Corpus):
     """Posts, their named unigram postings and tags."""
     ones = c.postings.join(c.unigrams.select(F.col("id").alias("ngram_id"), F.col("text").alias("ngram")), "ngram_id")
@@ -132,7 +127,7 @@ def tfidf_simple(spark, sf_dir):
 
 @query(_TFIDF + " SELECT DISTINCT type, ngram FROM ranked WHERE rn <= 10")
 def tfidf_top_per_tag(spark, sf_dir):
-    return tfidf.top_per_tag(tfidf.tfidf(_occurrences(Corpus(spark, sf_dir))), 10)
+    return tfidf.top_per_tag(tagged.leading(*_tagged(Corpus(spark, sf_dir)), 10), 10)
 
 
 @query(_TFIDF + " SELECT type, ngram FROM (SELECT DISTINCT type, ngram FROM ranked WHERE rn <= tag_rows * 500.0::DOUBLE / (SELECT count(*) FROM scores)) ORDER BY type, ngram LIMIT 500")

@@ -503,3 +503,14 @@ def test_tfidf_top_total_keeps_only_what_a_tag_can_give(spark, tmp_path, monkeyp
         rows, kept = _kept_rows(spark, catalog.tfidf_top_total, folder)
         _same_as_sql(rows, "tfidf_top_total", folder)
     assert kept < 7960 / 2
+
+
+def test_tfidf_top_per_tag_keeps_only_the_first_of_each_tag(spark, tmp_path):
+    from tagloom.plans import catalog
+
+    for name, tables in (("odd", _odd_tables), ("wide", _wide_tables)):
+        folder = str(tmp_path / name)
+        tables(spark, folder)
+        rows, kept = _kept_rows(spark, catalog.tfidf_top_per_tag, folder)
+        _same_as_sql(rows, "tfidf_top_per_tag", folder)
+    assert kept < 7960 / 2
