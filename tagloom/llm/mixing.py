@@ -10,6 +10,7 @@ the end so that each source comes as near to its quota as these can bring it.
 from __future__ import annotations
 
 import heapq
+import warnings
 from fractions import Fraction
 
 from pyspark.sql import DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql.window import Window
 from tagloom.llm.tokens import VOCABULARY, token_sizes
 from tagloom.session import written
 
-#: Sets of sources told apart, those of most tokens; a text of another set counts for the first of its sources.
+#: Sets of sources beyond which a warning says that the driver's flow over them takes long; all are told apart.
 MOST_PATTERNS = 4096
 #: Part of a quota by which the text at a stretch's end may exceed it, and how often the end is moved at most.
 CLOSE, MOVES = 0.002, 40
@@ -44,11 +45,11 @@ class Network:
         return len(self.edges) - 2
 
     def send(self, a, b) -> int:
-        """The largest flow, at the least cost."""
+        """The largest flow, at the least cost: for each path cost in turn, blocking flows over the edges of reduced cost 0."""
         potential = dict.fromkeys(self.out, 0)
         total = 0
         while True:
-            distance, come, heap, count = {a: 0}, {}, [(0, 0, a)], 0
+            distance, heap, count = {a: 0}, [(0, 0, a)], 0
             while heap:
                 d, _, x = heapq.heappop(heap)
                 if d > distance[x]:
@@ -56,21 +57,45 @@ class Network:
                 for e in self.out[x]:
                     y, capacity, cost = self.edges[e]
                     if capacity and (new := d + cost + potential[x] - potential[y]) < distance.get(y, new + 1):
-                        distance[y], come[y], count = new, e, count + 1
+                        distance[y], count = new, count + 1
                         heapq.heappush(heap, (new, count, y))
             if b not in distance:
                 return total
             for x in potential:
-                potential[x] += distance.get(x, distance[b])
-            path, x = [], b
-            while x != a:
-                path.append(come[x])
-                x = self.edges[come[x] ^ 1][0]
-            amount = min(self.edges[e][1] for e in path)
-            for e in path:
-                self.edges[e][1] -= amount
-                self.edges[e ^ 1][1] += amount
-            total += amount
+                potential[x] += min(distance.get(x, distance[b]), distance[b])
+            while amount := self._blocking(a, b, potential):
+                total += amount
+
+    def _blocking(self, a, b, potential: dict) -> int:
+        """A flow after which no shortest path, in edges, of reduced cost 0 is left."""
+        free = lambda x, e: self.edges[e][1] and self.edges[e][2] + potential[x] == potential[self.edges[e][0]]
+        level, row = {a: 0}, [a]
+        while row and b not in level:
+            row = [level.setdefault(y, level[x] + 1) and y for x in row for e in self.out[x] if free(x, e) and (y := self.edges[e][0]) not in level]
+        if b not in level:
+            return 0
+        at, path, x, total = dict.fromkeys(level, 0), [], a, 0
+        while True:
+            if x == b:
+                amount = min(self.edges[e][1] for e in path)
+                for e in path:
+                    self.edges[e][1] -= amount
+                    self.edges[e ^ 1][1] += amount
+                total += amount
+                cut = next(k for k, e in enumerate(path) if not self.edges[e][1])
+                x, path = self.edges[path[cut] ^ 1][0], path[:cut]
+            elif at[x] < len(self.out[x]):
+                e = self.out[x][at[x]]
+                if free(x, e) and level.get(self.edges[e][0]) == level[x] + 1:
+                    path.append(e)
+                    x = self.edges[e][0]
+                else:
+                    at[x] += 1
+            elif path:
+                x = self.edges[path.pop() ^ 1][0]
+                at[x] += 1
+            else:
+                return total
 
 
 def routed(sizes: dict[tuple[str, ...], int], quotas: dict[str, int], repeats: dict[str, int]) -> tuple[int, dict]:
@@ -137,12 +162,9 @@ def mixture(
         .agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"), F.array_sort(F.collect_set("source")).alias("pattern"))
     )
     texts = written(texts.withColumn("turn", F.xxhash64("print", F.lit(seed))).drop("print"), "texts")
-    per_pattern = lambda x: x.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n"))
-    sums = per_pattern(texts).orderBy(F.desc("tokens"), "pattern").limit(MOST_PATTERNS + 1).collect()
+    sums = texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect()  # the sets of sources
     if len(sums) > MOST_PATTERNS:
-        known = spark.createDataFrame([(r.pattern, True) for r in sums[:-1]], "pattern array<string>, known boolean")
-        texts = texts.join(F.broadcast(known), "pattern", "left").withColumn("pattern", F.when(F.col("known"), F.col("pattern")).otherwise(F.slice("pattern", 1, 1))).drop("known")
-        sums = per_pattern(texts).collect()  # at most MOST_PATTERNS and one for each source
+        warnings.warn(f"{len(sums)} sets of sources: their flow is worked out on the driver", stacklevel=2)
     sizes = {tuple(r.pattern): int(r.tokens) for r in sums}
     shares = {s: share for s, (share, _) in listed.items()}
     repeats = {s: repeat for s, (_, repeat) in listed.items()}

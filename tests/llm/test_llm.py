@@ -411,3 +411,13 @@ def test_mixture_of_many_patterns(spark, monkeypatch):
     targets = spark.createDataFrame([(s, 1 / 3, 2) for s in "abc"], "source string, target_share double, max_repeat int")
     mix = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), targets)
     assert {r.source for r in mix.collect()} == set("abc")
+
+
+def test_mixture_tells_rare_patterns_apart(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_PATTERNS", 2)
+    rows = [(k, f"tea cup {k}", s) for k in range(40) for s in ("ab" if k < 20 else "b" if k < 35 else "ac")]
+    rows = [(n, *r[1:]) for n, r in enumerate(rows)]
+    targets = spark.createDataFrame([("a", 0.4, 1), ("b", 0.5, 1), ("c", 0.1, 1)], "source string, target_share double, max_repeat int")
+    mix = mixing.mixture(spark.createDataFrame(rows, "doc_id long, text string, source string"), targets)
+    used = {r.source: r.tokens for r in mixing.mixture_shares(mix, targets).collect()}
+    assert used["c"] > 0 and abs(used["c"] / sum(used.values()) - 0.1) < 0.03
