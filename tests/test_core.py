@@ -261,6 +261,37 @@ def test_lsa_equals_the_decomposition(spark):
             assert np.allclose(got @ got.T, (u[:, :rank] * s[:rank] ** 2) @ u[:, :rank].T)
 
 
+def test_lsa_solves_nothing_on_the_driver(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.functions import array_to_vector
+
+    def refused(*_, **__):
+        raise AssertionError("solved on the driver")
+
+    rows = spark.createDataFrame([(k, [k % 3 + 1.0, k % 5 + 1.0, 1.0]) for k in range(20)], "post_id long, x array<double>").select("post_id", array_to_vector("x").alias("features"))
+    for name in ("eigh", "svd"):
+        monkeypatch.setattr(np.linalg, name, refused)
+    got = models.LSA(0.9).fit(rows).transform(rows).collect()
+    assert sorted(r.post_id for r in got) == list(range(20)) and {r.features.size for r in got} == {2}
+
+
+def test_lsa_beyond_one_square(spark):
+    import numpy as np
+    from pyspark.ml.linalg import SparseVector
+
+    for shape, share in (((11, 20), 0.6), ((11, 8), 1.0)):
+        x = np.random.default_rng(7).integers(0, 3, shape) * 1.0
+        x[3], x[4] = x[2], 0
+        rows = spark.createDataFrame([(k, SparseVector(shape[1], list(np.flatnonzero(r)), list(r[r > 0]))) for k, r in enumerate(x)], ["post_id", "features"]).coalesce(1)
+        u, values, _ = np.linalg.svd(x, full_matrices=False)
+        rank = min(int(np.searchsorted(np.cumsum(values) / values.sum(), share - 1e-9) + 1), int((values > 1e-6).sum()))
+        # stacks of four rows and chunks of four axes
+        got = models.LSA(share, wide=5, stack=4 * shape[1]).fit(rows).transform(rows).orderBy("post_id").collect()
+        got = np.array([r.features.toArray() for r in got])
+        assert got.shape == (shape[0], rank)
+        assert np.allclose(got @ got.T, (u[:, :rank] * values[:rank] ** 2) @ u[:, :rank].T)
+
+
 def test_feeds_hold_whole_posts(spark, tmp_path):
     from tagloom.plans import catalog
 
