@@ -292,6 +292,33 @@ def test_lsa_beyond_one_square(spark):
         assert np.allclose(got @ got.T, (u[:, :rank] * values[:rank] ** 2) @ u[:, :rank].T)
 
 
+def test_lsa_keeps_dense_rows_out_of_tables(spark, monkeypatch):
+    import os
+
+    import numpy as np
+    from pyspark.ml.linalg import SparseVector
+
+    sizes, folders = [], []
+
+    def noted(df, name, made=models.written):
+        table = made(df, name)
+        sizes.extend(len(v) for r in table.collect() for v in r if isinstance(v, (bytes, bytearray)))
+        return table
+
+    monkeypatch.setattr(models, "written", noted)
+    monkeypatch.setattr(models, "scratch", lambda spark, name, made=getattr(models, "scratch", None): folders.append(made(spark, name)) or folders[-1], raising=False)
+    x = np.random.default_rng(3).integers(0, 2, (9, 12)) * 1.0
+    rows = spark.createDataFrame([(k, SparseVector(4096, list(np.flatnonzero(r)), list(r[r > 0]))) for k, r in enumerate(x)], ["post_id", "features"])
+    for wide in (5, 100):  # by turns, by one square
+        got = models.LSA(1.0, wide, 4 * 4096).fit(rows).transform(rows).orderBy("post_id").collect()
+        got = np.array([r.features.toArray() for r in got])
+        assert np.allclose(got @ got.T, x @ x.T)
+    assert all(n < 8 * 4096 for n in sizes)  # a dense row or an axis has 32,768 bytes
+    left = [f for f in folders if os.path.exists(f.removeprefix("file:"))]
+    assert len(folders) == 5 and len(left) == 4  # the stacks are gone
+    assert all(os.listdir(f.removeprefix("file:")) for f in left)
+
+
 def test_feeds_hold_whole_posts(spark, tmp_path):
     from tagloom.plans import catalog
 
